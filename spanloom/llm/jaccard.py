@@ -13,8 +13,10 @@ A document's set is its distinct n-word shingles, by 64-bit hash. Two sets link
 3. In each tile the smallest set is the hub; pairs (hub, member) are candidates. A pair's bitmaps
    (1,024 parity bits) bound the overlap from above: the bits that differ are at most the elements that
    differ. The pairs that are left are counted exactly, by intersecting the arrays.
-4. Links are contracted to components. A tile that still holds more than one component has its
-   pairs across components, and only those, compared the same way.
+4. Links are contracted to components. A tile that still holds more than one component gets a second
+   hub, and if that leaves several, is cut into blocks: bitmaps of the pairs across components are compared
+   block by block, and only pairs that may link are counted exactly. Members of one component are never
+   compared again.
 
 No step gathers a tile in a task: tiles are sorted streams, joins and sums.
 """
@@ -38,6 +40,8 @@ BAND = 1.5
 ROOM = (1.15, 1.5, 2.0, 3.0, 5.0, math.inf)
 #: 64-bit words of a bitmap.
 BITMAP = 16
+#: Members of a tile that are compared with as many others in one task, where a tile holds several components.
+BLOCK = 512
 #: Ids up to this count are broadcast (32 MB); more are joined by a shuffle.
 SMALL = 4_000_000
 
@@ -128,14 +132,68 @@ def _linked(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
     bits = sets.select("cls", "n", "bits")
     left = pairs.join(bits.toDF("a", "na", "bits_a"), "a").join(bits.toDF("b", "nb", "bits_b"), "b")
     differ = F.aggregate(F.zip_with("bits_a", "bits_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
-    most = (F.col("na") + F.col("nb") - differ) / F.lit(2)
-    left = left.where(most * (num + den) >= (F.col("na") + F.col("nb")) * num).select("a", "b")
+    twice = F.col("na") + F.col("nb") - differ  # at most twice the overlap
+    left = left.where(twice * (num + den) >= (F.col("na") + F.col("nb")) * (2 * num)).select("a", "b")
     full = sets.select("cls", "elements")
     both = left.join(full.toDF("a", "xs"), "a").join(full.toDF("b", "ys"), "b")
     common = F.size(F.array_intersect("xs", "ys"))
     return both.select("a", "b", common.alias("common"), (F.size("xs") + F.size("ys") - common).alias("either")).where(F.col("common") * den >= F.col("either") * num).select("a", "b")
 
 
+def _mixed(tiles: DataFrame, root: DataFrame) -> DataFrame:
+    """(tile, cls, n, root, held) of the tiles that hold more than one component and more than a tried pair; held: their members."""
+    members = tiles.select("tile", "cls", "n").union(tiles.select("tile", F.col("hub").alias("cls"), F.col("hub_n").alias("n")).distinct())
+    members = members.join(root.withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
+    mixed = members.groupBy("tile").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.count("*").alias("held")).where("r0 <> r1 and held > 2")
+    return save(members.join(mixed.select("tile", "held"), "tile"), "jaccard-mixed")
+
+
+def _across(members: DataFrame, num: int, den: int) -> DataFrame:
+    """(a, b) in members (tile, cls, n, root, held, bits): the pairs across components of a tile whose bitmaps allow a link.
+
+    A tile is cut by hash into blocks of about BLOCK members, and each pair of blocks is compared on its own.
+    """
+    own, blocks = F.pmod(F.xxhash64("cls", F.lit(7)), "blocks").cast("int"), F.ceil(F.col("held") / F.lit(BLOCK)).cast("int")
+    rows = members.withColumn("blocks", blocks).withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rows = rows.select("tile", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "cls", "n", "root", "bits")
+
+    def compare(batches):
+        held: list[pa.RecordBatch] = []
+        key = None
+        for batch in batches:
+            keys = np.column_stack([batch.column(i).to_numpy() for i in range(3)])
+            cuts = np.flatnonzero(np.any(keys[1:] != keys[:-1], axis=1)) + 1
+            for a, b in zip([0, *cuts], [*cuts, len(keys)], strict=True):
+                if a == b:
+                    continue
+                if held and key != tuple(keys[a]):
+                    yield from _block(held, num, den)
+                    held = []
+                key = tuple(keys[a])
+                held.append(batch.slice(a, b - a))
+        if held:
+            yield from _block(held, num, den)
+
+    return rows.repartition("tile", "lo", "hi").sortWithinPartitions("tile", "lo", "hi").mapInArrow(compare, "a long, b long")
+
+
+def _block(parts: list[pa.RecordBatch], num: int, den: int) -> Iterator[pa.RecordBatch]:
+    block = pa.Table.from_batches(parts)
+    lo, own, cls, n, root = (block.column(c).to_numpy() for c in ("lo", "own", "cls", "n", "root"))
+    bits = block.column("bits").combine_chunks().flatten().to_numpy().view(U64).reshape(len(cls), -1)
+    one = np.flatnonzero(own == lo)
+    two = np.flatnonzero(own != lo) if len(one) < len(own) else one
+    for i in one.tolist():
+        j = two[two > i] if two is one else two
+        j = j[(root[j] != root[i]) & (np.minimum(n[j], n[i]) * den >= np.maximum(n[j], n[i]) * num)]
+        if len(j):
+            both = n[i] + n[j]
+            differ = np.bitwise_count(bits[j] ^ bits[i]).sum(axis=1, dtype=np.int64)
+            j = j[(both - differ) * (num + den) >= both * num * 2]
+            if len(j):
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(cls[i], cls[j])), pa.array(np.maximum(cls[i], cls[j]))], names=["a", "b"])
+
+
 def near_duplicates(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id_col, n_shingles, component_id) for every row of docs.
 
@@ -198,18 +256,22 @@ def near_duplicates(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100,
     links = save(_linked(tried, sets, num, den), "jaccard-links")
     root = save(components(links), "jaccard-roots")
 
-    # tiles that still hold more than one component
-    members = tiles.select("tile", "cls", "n").union(tiles.select("tile", F.col("hub").alias("cls"), F.col("hub_n").alias("n")).distinct())
-    members = members.join(root.withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
-    mixed = members.groupBy("tile").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.count("*").alias("held")).where("r0 <> r1 and held > 2").select("tile")
-    members = save(members.join(mixed, "tile", "left_semi"), "jaccard-mixed")
-    other = members.select("tile", *(F.col(c).alias(f"{c}2") for c in ("cls", "n", "root")))
-    pairs = members.join(other, "tile").where("root < root2").where(_sized(F.col("n"), F.col("n2"), num, den)).select(F.least("cls", "cls2").alias("a"), F.greatest("cls", "cls2").alias("b")).distinct()
-    pairs = save(pairs.join(tried, ["a", "b"], "left_anti"), "jaccard-pairs")
-    if not pairs.isEmpty():
-        more = save(links.union(_linked(pairs, sets, num, den)), "jaccard-links")
-        root = save(components(more), "jaccard-roots")
-    for x in (tiles, tried, sets, members, pairs, reps):
+    # one more hub for each tile that still holds more than one component, then blocks of its members against one another
+    for last in (False, True):
+        members = _mixed(tiles, root)
+        if last:
+            bits = sets.select("cls", F.col("n").alias("size"), "bits")
+            pairs = _across(members.join(bits, "cls"), num, den)
+        else:
+            hub = members.groupBy("tile").agg(F.min_by(F.struct("cls", "n", "root"), F.xxhash64("cls")).alias("hub"))
+            pairs = members.join(hub, "tile").where("root <> hub.root").where(_sized(F.col("n"), F.col("hub.n"), num, den)).select(F.least("cls", "hub.cls").alias("a"), F.greatest("cls", "hub.cls").alias("b"))
+        pairs = save(pairs.distinct().join(tried, ["a", "b"], "left_anti"), "jaccard-pairs")
+        if not pairs.isEmpty():
+            links = save(links.union(_linked(pairs, sets, num, den)), "jaccard-links")
+            root = save(components(links), "jaccard-roots")
+            tried = tried.union(pairs)
+        drop(members)
+    for x in (tiles, sets, reps):
         drop(x)
 
     # classes with more than one row or a link; all other rows are their own component
