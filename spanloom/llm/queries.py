@@ -9,8 +9,10 @@ from .decontaminate import decontaminate
 from .html import main_text
 from .jaccard import near_duplicates
 from .langid import identify
+from .lines import drop_recurring
 from .mixing import plan
 from .sharding import shard
+from .surrogates import pseudonymize
 from .warc import round_trip
 
 
@@ -31,6 +33,11 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(table(spark, sf_dir, "documents"))
 
 
+def op4_line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = drop_recurring(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_lines", "n_dropped", "text")
+
+
 def op5_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings")
     return search(vectors, vectors.where("vec_id % 20 = 0"), k=20)
@@ -40,6 +47,10 @@ def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard(table(spark, sf_dir, "documents")).select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")
 
 
+def op7_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pseudonymize(table(spark, sf_dir, "documents")).select("doc_id", "n_entities", "text")
+
+
 def op8_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), n=4, num=85, den=100)
 
@@ -56,8 +67,10 @@ QUERIES = {
     "op1_mixing": op1_mixing,
     "op2_decontamination": op2_decontamination,
     "op3_language_id": op3_language_id,
+    "op4_line_templates": op4_line_templates,
     "op5_nearest_neighbours": op5_nearest_neighbours,
     "op6_sharding": op6_sharding,
+    "op7_surrogates": op7_surrogates,
     "op8_ngram_jaccard": op8_ngram_jaccard,
     "op9_html_extraction": op9_html_extraction,
     "op10_warc": op10_warc,
