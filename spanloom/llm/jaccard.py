@@ -10,13 +10,13 @@ A document's set is its distinct n-word shingles, by 64-bit hash. Two sets link
    least one of them is the same in both. A tile is (band, bin, sum of the bin's elements). A set goes
    to the bands that hold sizes of smaller partners too. The number of bins of a band is raised until
    every set in it has more than H bins with elements, up to a bin for each element, so none is missed.
-3. In each tile the smallest set is the hub; pairs (hub, member) are candidates. A pair's bitmaps
+3. In each tile the smallest set is the hub; a set's first candidate is the hub it shares most tiles with. A pair's bitmaps
    (1,024 parity bits) bound the overlap from above: the bits that differ are at most the elements that
    differ. The pairs that are left are counted exactly, by intersecting the arrays.
-4. Links are contracted to components. A tile that still holds more than one component gets a second
-   hub, and if that leaves several, is cut into blocks: bitmaps of the pairs across components are compared
-   block by block, and only pairs that may link are counted exactly. Members of one component are never
-   compared again.
+4. Links are contracted to components. Of tiles that still hold more than one component, the other hubs
+   and, block by block, the pair of each two components whose bitmaps differ least come next; and if that
+   leaves several, all pairs across components whose bitmaps allow a link. Members of one component are
+   never compared again.
 
 No step gathers a tile in a task: tiles are sorted streams, joins and sums.
 """
@@ -141,16 +141,17 @@ def _linked(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
 
 
 def _mixed(tiles: DataFrame, root: DataFrame) -> DataFrame:
-    """(tile, cls, n, root, held) of the tiles that hold more than one component and more than a tried pair; held: their members."""
-    members = tiles.select("tile", "cls", "n").union(tiles.select("tile", F.col("hub").alias("cls"), F.col("hub_n").alias("n")).distinct())
+    """(tile, cls, n, hub, hub_n, root, held) of the tiles that hold more than one component; held: their members."""
+    members = tiles.select("tile", "cls", "n", "hub", "hub_n").union(tiles.select("tile", "hub", "hub_n", "hub", "hub_n").distinct())
     members = members.join(root.withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
-    mixed = members.groupBy("tile").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.count("*").alias("held")).where("r0 <> r1 and held > 2")
+    mixed = members.groupBy("tile").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.count("*").alias("held")).where("r0 <> r1")
     return save(members.join(mixed.select("tile", "held"), "tile"), "jaccard-mixed")
 
 
-def _across(members: DataFrame, num: int, den: int) -> DataFrame:
+def _across(members: DataFrame, num: int, den: int, likeliest: bool) -> DataFrame:
     """(a, b) in members (tile, cls, n, root, held, bits): the pairs across components of a tile whose bitmaps allow a link.
 
+    likeliest: of each two components in a block only the pair whose bitmaps differ least.
     A tile is cut by hash into blocks of about BLOCK members, and each pair of blocks is compared on its own.
     """
     own, blocks = F.pmod(F.xxhash64("cls", F.lit(7)), "blocks").cast("int"), F.ceil(F.col("held") / F.lit(BLOCK)).cast("int")
@@ -167,31 +168,43 @@ def _across(members: DataFrame, num: int, den: int) -> DataFrame:
                 if a == b:
                     continue
                 if held and key != tuple(keys[a]):
-                    yield from _block(held, num, den)
+                    yield from _block(held, num, den, likeliest)
                     held = []
                 key = tuple(keys[a])
                 held.append(batch.slice(a, b - a))
         if held:
-            yield from _block(held, num, den)
+            yield from _block(held, num, den, likeliest)
 
     return rows.repartition("tile", "lo", "hi").sortWithinPartitions("tile", "lo", "hi").mapInArrow(compare, "a long, b long")
 
 
-def _block(parts: list[pa.RecordBatch], num: int, den: int) -> Iterator[pa.RecordBatch]:
+def _block(parts: list[pa.RecordBatch], num: int, den: int, likeliest: bool) -> Iterator[pa.RecordBatch]:
     block = pa.Table.from_batches(parts)
     lo, own, cls, n, root = (block.column(c).to_numpy() for c in ("lo", "own", "cls", "n", "root"))
     bits = block.column("bits").combine_chunks().flatten().to_numpy().view(U64).reshape(len(cls), -1)
     one = np.flatnonzero(own == lo)
     two = np.flatnonzero(own != lo) if len(one) < len(own) else one
+    best: dict[tuple[int, int], tuple[int, int, int]] = {}
+    found: list[tuple[np.ndarray, np.ndarray]] = []
     for i in one.tolist():
         j = two[two > i] if two is one else two
         j = j[(root[j] != root[i]) & (np.minimum(n[j], n[i]) * den >= np.maximum(n[j], n[i]) * num)]
         if len(j):
             both = n[i] + n[j]
             differ = np.bitwise_count(bits[j] ^ bits[i]).sum(axis=1, dtype=np.int64)
-            j = j[(both - differ) * (num + den) >= both * num * 2]
-            if len(j):
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(cls[i], cls[j])), pa.array(np.maximum(cls[i], cls[j]))], names=["a", "b"])
+            may = (both - differ) * (num + den) >= both * num * 2
+            j, differ = j[may], differ[may]
+            if likeliest:
+                for k, d in zip(j.tolist(), differ.tolist(), strict=True):
+                    pair = (min(root[i], root[k]), max(root[i], root[k]))
+                    if pair not in best or d < best[pair][0]:
+                        best[pair] = (d, i, k)
+            elif len(j):
+                found.append((np.full(len(j), i), j))
+    if best:
+        found = [tuple(np.array([x[p] for x in best.values()]) for p in (1, 2))]
+    for i, j in found:
+        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(cls[i], cls[j])), pa.array(np.maximum(cls[i], cls[j]))], names=["a", "b"])
 
 
 def near_duplicates(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -232,7 +245,10 @@ def near_duplicates(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100,
     tiles = postings.withColumn("hub", hub).where("cls <> hub.cls").select("tile", "cls", "n", F.col("hub.cls").alias("hub"), F.col("hub.n").alias("hub_n")).distinct()
     tiles = save(tiles, "jaccard-tiles")
 
-    tried = save(tiles.where(_sized(F.col("n"), F.col("hub_n"), num, den)).select(F.least("hub", "cls").alias("a"), F.greatest("hub", "cls").alias("b")).distinct(), "jaccard-pairs")
+    # each set is tried first with the hub that it shares most tiles with
+    near = tiles.where(_sized(F.col("n"), F.col("hub_n"), num, den)).groupBy("cls", "hub").agg(F.count("*").alias("tiles"))
+    near = near.groupBy("cls").agg(F.max_by("hub", F.struct("tiles", "hub")).alias("hub"))
+    tried = save(near.select(F.least("hub", "cls").alias("a"), F.greatest("hub", "cls").alias("b")).distinct(), "jaccard-pairs")
     wanted = tiles.select("cls").union(tiles.select("hub")).distinct()
     reps = save(ids.where("n > 0").join(wanted, "cls", "left_semi").groupBy("cls").agg(F.min("doc_id").alias("doc_id")), "jaccard-wanted")
 
@@ -256,15 +272,14 @@ def near_duplicates(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100,
     links = save(_linked(tried, sets, num, den), "jaccard-links")
     root = save(components(links), "jaccard-roots")
 
-    # one more hub for each tile that still holds more than one component, then blocks of its members against one another
+    # tiles that still hold more than one component: other hubs and the likeliest pairs first, then every pair that may link
     for last in (False, True):
         members = _mixed(tiles, root)
-        if last:
-            bits = sets.select("cls", F.col("n").alias("size"), "bits")
-            pairs = _across(members.join(bits, "cls"), num, den)
-        else:
-            hub = members.groupBy("tile").agg(F.min_by(F.struct("cls", "n", "root"), F.xxhash64("cls")).alias("hub"))
-            pairs = members.join(hub, "tile").where("root <> hub.root").where(_sized(F.col("n"), F.col("hub.n"), num, den)).select(F.least("cls", "hub.cls").alias("a"), F.greatest("cls", "hub.cls").alias("b"))
+        bits = sets.select("cls", F.col("n").alias("size"), "bits")
+        pairs = _across(members.where("held > 2").join(bits, "cls"), num, den, likeliest=not last)
+        if not last:
+            others = members.where("hub <> cls").join(root.select(F.col("node").alias("hub"), F.col("root").alias("hub_root")), "hub", "left").where("root <> coalesce(hub_root, hub)")
+            pairs = pairs.union(others.where(_sized(F.col("n"), F.col("hub_n"), num, den)).select(F.least("cls", "hub").alias("a"), F.greatest("cls", "hub").alias("b")))
         pairs = save(pairs.distinct().join(tried, ["a", "b"], "left_anti"), "jaccard-pairs")
         if not pairs.isEmpty():
             links = save(links.union(_linked(pairs, sets, num, den)), "jaccard-links")
