@@ -76,6 +76,8 @@ def match(windows: Windows, terms: np.ndarray, positions: np.ndarray, begin: np.
     size, none = int(begin[-1]), (np.zeros(0, np.int64),) * 2
     if not len(terms) or not len(windows.lens):
         return none
+    known = np.isin(terms, windows.terms)  # the index may hold terms of other slices
+    terms, positions = terms[known], positions[known]
     ids = np.searchsorted(windows.terms, terms)
     lists = ids * (size + 1) + positions  # ascending: by term, then by position
     count = np.bincount(ids, minlength=len(windows.terms))
@@ -104,42 +106,55 @@ def match(windows: Windows, terms: np.ndarray, positions: np.ndarray, begin: np.
     return which, start
 
 
-def search(index: DataFrame, items: list[tuple[str, str | None]], width: int = WINDOW, slop: int = 0) -> DataFrame:
+def search(index: DataFrame, slices: list[list[tuple[str, str | None]]], width: int = WINDOW, slop: int = 0) -> DataFrame:
     """(doc_id, n_words, hits, items, near) of every document of the index: spans of hit words as [from, to), ids of items with exact occurrences of a window, ids of items with proximity matches."""
     id_type = index.schema["docs"].dataType.elementType.simpleString()
-    shared = index.sparkSession.sparkContext.broadcast(Windows(items, width))
+    shared = [index.sparkSession.sparkContext.broadcast(Windows(items, width)) for items in slices]
 
     def scan(batches: Iterator[pa.RecordBatch]):
-        w = shared.value
         for batch in batches:
-            for r in range(batch.num_rows):
-                docs, begin, terms, positions = (batch.column(i)[r].values for i in range(4))
-                begin, positions = begin.to_numpy(), positions.to_numpy().astype(np.int64)
-                terms = terms.to_numpy(zero_copy_only=False).view(U64)
-                which, start = match(w, terms, positions, begin, 0)
-                hit = np.zeros(int(begin[-1]) + 1, dtype=np.int64)
-                np.add.at(hit, start, 1)
-                np.add.at(hit, start + w.lens[which], -1)
-                on = np.concatenate(([False], np.cumsum(hit)[:-1] > 0, [False]))
-                exact = _items(w, which, np.searchsorted(begin, start, "right") - 1, len(docs))
-                near = exact
-                if slop:
-                    which, start = match(w, terms, positions, begin, slop)
-                    lead = np.clip(start, 0, max(0, int(begin[-1]) - 1))
-                    near = _items(w, which, np.searchsorted(begin, lead, "right") - 1, len(docs))
-                spans = []
-                for d in range(len(docs)):
-                    own = np.concatenate(([False], on[1 + begin[d] : 1 + begin[d + 1]], [False])).astype(np.int8)
-                    edge = np.flatnonzero(np.diff(own))
-                    spans.append(edge.tolist())
-                yield pa.RecordBatch.from_arrays(
-                    [docs, pa.array(begin[1:] - begin[:-1]), pa.array(spans, pa.list_(pa.int64())), pa.array(exact, pa.list_(pa.string())), pa.array(near, pa.list_(pa.string()))],
-                    names=["doc_id", "n_words", "hits", "items", "near"],
-                )
+            for part in _searched(batch, shared, slop):
+                yield pa.RecordBatch.from_arrays(part, names=["doc_id", "n_words", "hits", "items", "near"])
 
     return index.mapInArrow(scan, f"doc_id {id_type}, n_words long, hits array<long>, items array<string>, near array<string>")
 
 
+def _searched(batch: pa.RecordBatch, shared: list, slop: int) -> Iterator[list[pa.Array]]:
+    """The result's columns for each segment of a batch: slices in turn, of which a task holds one at a time if there are several."""
+    out: list[list] = []
+    for n, one in enumerate(shared):
+        w = one.value
+        for r in range(batch.num_rows):
+            docs, begin, terms, positions = (batch.column(i)[r].values for i in range(4))
+            begin, positions = begin.to_numpy(), positions.to_numpy().astype(np.int64)
+            terms = terms.to_numpy(zero_copy_only=False).view(U64)
+            which, start = match(w, terms, positions, begin, 0)
+            hit = np.zeros(int(begin[-1]) + 1, dtype=np.int64)
+            np.add.at(hit, start, 1)
+            np.add.at(hit, start + w.lens[which], -1)
+            on = np.concatenate(([False], np.cumsum(hit)[:-1] > 0, [False]))
+            exact = _items(w, which, np.searchsorted(begin, start, "right") - 1, len(docs))
+            near = exact
+            if slop:
+                which, start = match(w, terms, positions, begin, slop)
+                lead = np.clip(start, 0, max(0, int(begin[-1]) - 1))
+                near = _items(w, which, np.searchsorted(begin, lead, "right") - 1, len(docs))
+            spans = []
+            for d in range(len(docs)):
+                own = np.concatenate(([False], on[1 + begin[d] : 1 + begin[d + 1]], [False])).astype(np.int8)
+                edge = np.flatnonzero(np.diff(own))
+                spans.append(edge.tolist())
+            if n == 0:
+                out.append([docs, begin[1:] - begin[:-1], spans, exact, near])
+            else:
+                for k, more in ((2, spans), (3, exact), (4, near)):
+                    out[r][k] = [a + b for a, b in zip(out[r][k], more, strict=True)]
+        if len(shared) > 1:
+            one.__dict__.pop("_value", None)
+    for docs, counts, spans, exact, near in out:
+        yield [docs, pa.array(counts), pa.array(spans, pa.list_(pa.int64())), pa.array(exact, pa.list_(pa.string())), pa.array([sorted(set(x)) for x in near], pa.list_(pa.string()))]
+
+
 def _items(w: Windows, which: np.ndarray, doc: np.ndarray, docs: int) -> list[list[str]]:
     out: list[set] = [set() for _ in range(docs)]
     for k, d in zip(which.tolist(), doc.tolist(), strict=True):
@@ -171,13 +186,8 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW, le
         if len(part) == SLICE_ITEMS:
             slices, part = [*slices, part], []
     slices += [part] if part or not slices else []
-    out = None
-    for part in slices:  # one, unless the benchmark is longer than a slice
-        index = save(build_index(docs, Windows(part, width).terms), "postings")
-        found = search(index, part, width, slop)
-        out = found if out is None else out.union(found)
-    if len(slices) > 1:
-        out = out.withColumn("copy", F.row_number().over(_copies())).groupBy("doc_id", "copy", "n_words").agg(F.flatten(F.collect_list("hits")).alias("hits"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"), F.array_distinct(F.flatten(F.collect_list("near"))).alias("near"))
+    terms = np.unique(np.concatenate([Windows(part, width).terms for part in slices]))
+    out = search(save(build_index(docs, terms), "postings"), slices, width, slop)
 
     def digest(batches: Iterator[pa.RecordBatch]):
         for b in batches:
@@ -194,12 +204,6 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW, le
     return out.mapInArrow(digest, f"doc_id {id_type}, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, items array<string>, near_items array<string>, spans array<long>")
 
 
-def _copies():
-    from pyspark.sql import Window
-
-    return Window.partitionBy("doc_id", "n_words").orderBy(F.size("hits"))
-
-
 def _union(spans: list[int]) -> list[int]:
     """Spans [from, to, ...] in any order as ascending ones that don't touch."""
     out: list[int] = []

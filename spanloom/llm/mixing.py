@@ -112,7 +112,8 @@ def plan(docs: DataFrame, weights: tuple[float, ...] = (1, 2, 3), most: int = 3,
     """
     spark = docs.sparkSession
     added = ("size", "source_size", "target", "copies", "taken", "draws")
-    docs = docs.drop(*added).withColumn("size", words(F.col("text")))
+    docs = docs.drop(*added)
+    docs = docs.select(F.struct(*docs.columns).alias("_row"), "doc_id", "source", words(F.col("text")).alias("size"))
     narrow = save(docs.select("doc_id", "source", "size"), "mix-sizes")
     stats = narrow.groupBy("source").agg(F.count("*").alias("rows"), F.sum("size").alias("size")).limit(MAX_SOURCES + 1).collect()
     if len(stats) > MAX_SOURCES:
@@ -173,8 +174,7 @@ def plan(docs: DataFrame, weights: tuple[float, ...] = (1, 2, 3), most: int = 3,
         return F.struct(shard.alias("shard"), F.xxhash64(F.lit(seed + 2), "doc_id", p).alias("order"))
 
     out = out.withColumn("copies", copies).withColumn("taken", F.col("copies") * F.col("size")).withColumn("draws", F.transform(passes, drawn))
-    keep = [c for c in docs.columns if c != "size"]
-    return out.select(*keep, *added)
+    return out.select("_row.*", *added)
 
 
 def _coprime(n: int, seed: int) -> int:
@@ -186,8 +186,8 @@ def _coprime(n: int, seed: int) -> int:
 
 
 def mixed(docs: DataFrame, **options) -> DataFrame:
-    """The mix: a row for each copy of each document drawn, with docs' columns and the shard, in its order within the shard."""
-    draws = plan(docs, **options).select(*[c for c in docs.columns if c not in ("size", "source_size", "target", "copies", "taken", "draws")], F.explode("draws").alias("draw"))
+    """The mix: a row for each copy of each document drawn, with docs' columns (but those of plan's names, shard, draw or order) and the shard, in its order within the shard."""
+    draws = plan(docs, **options).select(*[c for c in docs.columns if c not in ("size", "source_size", "target", "copies", "taken", "draws", "shard", "draw", "order")], F.explode("draws").alias("draw"))
     # a shard is as many range partitions as its size asks for, so none has to fit in a task
     out = draws.select(*[c for c in draws.columns if c != "draw"], F.col("draw.shard").alias("shard"), F.col("draw.order").alias("order"))
     return out.repartitionByRange("shard", "order").sortWithinPartitions("shard", "order").drop("order")

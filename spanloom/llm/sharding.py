@@ -78,7 +78,8 @@ def shard(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     """
     spark = docs.sparkSession
     added = ("size", "text_crc32", "law", "shard", "slot", "grown_shard")
-    docs = docs.drop(*added).withColumn("size", size_of(F.col("text"))).withColumn("text_crc32", F.crc32(F.col("text").cast("binary")))
+    docs = docs.drop(*added)
+    docs = docs.select(F.struct(*docs.columns).alias("_row"), "doc_id", "text", size_of(F.col("text")).alias("size"), F.crc32(F.col("text").cast("binary")).alias("text_crc32"))
     docs = docs.withColumn("_bin", F.pmod(F.xxhash64("text"), F.lit(BINS)).cast("int"))
     narrow = save(docs.select("doc_id", "size", "_bin"), "ring-rows")
     sums = (F.sum("size").alias("bytes"), F.count("*").alias("rows"))
@@ -90,7 +91,7 @@ def shard(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
 
     def parted(df: DataFrame) -> DataFrame:
         df = df.join(F.broadcast(in_parts), "_bin", "left")
-        return df.withColumn("_part", F.coalesce(F.pmod(F.xxhash64("doc_id", F.lit(5)), "_parts"), F.lit(0)).cast("int")).drop("_parts")
+        return df.withColumn("_part", F.coalesce(F.pmod(F.xxhash64("doc_id", F.lit(5)), "_parts"), F.lit(0)).cast("int")).drop("_parts", "text")
 
     loads = parted(narrow).groupBy("_bin", "_part").agg(*sums).collect()  # BINS + 3 * PARTS rows at most
     home = place([(r["_bin"], r["_part"], r["bytes"]) for r in loads], shards)
@@ -103,7 +104,7 @@ def shard(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     out = parted(docs).join(F.broadcast(places), ["_bin", "_part"])
     number = F.row_number().over(W.partitionBy("_bin", "_part").orderBy("doc_id", "text_crc32"))
     out = out.withColumn("law", F.lit("bytes")).withColumn("shard", F.col("shard").cast("int")).withColumn("slot", F.col("_from") + number - 1).withColumn("grown_shard", F.lit(None).cast("int"))
-    return out.select(*[c for c in docs.columns if c not in (*added, "_bin")], *added)
+    return out.select("_row.*", *added)
 
 
 def _table(spark, rows: list[list[int]], names: tuple[str, ...]) -> DataFrame:
