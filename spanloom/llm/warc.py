@@ -9,6 +9,7 @@ ranges, coalesces near ones into single reads, and parses the records.
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import re
 from collections.abc import Iterator
@@ -28,6 +29,8 @@ REVISIT_BYTES = 100
 #: Ranges this close are read at once, up to READ bytes.
 GAP = 64 << 10
 READ = 4 << 20
+#: Archives are written in so many passes over the pages, so the shuffle of one pass holds as small a part of the bodies.
+PASSES = 3
 DATE = "2024-01-01T00:00:00Z"
 
 # Fixed values of the WARC 1.1 format.
@@ -63,10 +66,11 @@ def _head(rows: DataFrame) -> Column:
     )
 
 
-def _with_kinds(rows: DataFrame, first: DataFrame, archives: int) -> DataFrame:
-    """rows with their archive, kind and refers_to. first: digest and the page_id of its response."""
+def _with_kinds(rows: DataFrame, first: DataFrame, archives: int, only: int | None = None) -> DataFrame:
+    """rows (only: those whose archive's number is that modulo PASSES) with their archive, kind and refers_to. first: digest and the page_id of its response."""
     rows = rows.join(first.withColumnRenamed("digest", "_d"), F.col("digest") == F.col("_d"), "left").drop("_d")
     rows = rows.withColumn("archive", F.pmod(F.xxhash64("page_id", "digest"), F.lit(archives)).cast("int"))
+    rows = rows if only is None else rows.where(F.col("archive") % PASSES == only)
     in_order = W.partitionBy("archive").orderBy("page_id", "digest", "url")
     again = F.coalesce((F.lag("page_id").over(in_order) == F.col("page_id")) & (F.lag("digest").over(in_order) == F.col("digest")), F.lit(False))
     revisit = F.col("least").isNotNull() & ((F.col("page_id").isNull()) | (F.col("page_id") != F.col("least")) | again)
@@ -96,10 +100,14 @@ def write_archives(pages: DataFrame, path: str) -> DataFrame:
     Of rows that repeat a page_id and payload the first is the response. Other columns are ignored.
     """
     index, first, archives = plan_archives(pages)
-    rows = _with_kinds(_digested(pages), first, archives)
-    record = F.concat(_head(rows), F.when(F.col("kind") == "revisit", "").otherwise(F.col("html")))
-    rows = rows.select("archive", "page_id", "digest", "url", record.alias("value")).sortWithinPartitions("archive", "page_id", "digest", "url")
-    rows.select("archive", "value").write.partitionBy("archive").option("lineSep", END).text(path)
+    for k in range(min(PASSES, archives)):
+        rows = _with_kinds(_digested(pages), first, archives, k)
+        record = F.concat(_head(rows), F.when(F.col("kind") == "revisit", "").otherwise(F.col("html")))
+        rows = rows.select("archive", "page_id", "digest", "url", record.alias("value")).sortWithinPartitions("archive", "page_id", "digest", "url")
+        rows.select("archive", "value").write.mode("append").partitionBy("archive").option("lineSep", END).text(path)
+        del rows, record
+        gc.collect()  # Spark deletes a shuffle's files once nothing in the driver refers to it
+        pages.sparkSession._jvm.System.gc()
     return index
 
 
