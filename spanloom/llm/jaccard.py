@@ -127,6 +127,11 @@ def _sized(a: Column, b: Column, num: int, den: int) -> Column:
     return F.least(a, b) * den >= F.greatest(a, b) * num
 
 
+def _few(ids: DataFrame) -> DataFrame:
+    """ids, to be broadcast if they are no more than SMALL."""
+    return F.broadcast(ids) if ids.count() <= SMALL else ids
+
+
 def _linked(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
     """The pairs (a, b) of classes that link: bitmaps first, then exact counts for those they leave."""
     bits = sets.select("cls", "n", "bits")
@@ -134,7 +139,9 @@ def _linked(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
     differ = F.aggregate(F.zip_with("bits_a", "bits_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
     twice = F.col("na") + F.col("nb") - differ  # at most twice the overlap
     left = left.where(twice * (num + den) >= (F.col("na") + F.col("nb")) * (2 * num)).select("a", "b")
-    full = sets.select("cls", "elements")
+    left = save(left, "jaccard-left")
+    named = left.select(F.col("a").alias("cls")).union(left.select("b")).distinct()
+    full = sets.select("cls", "elements").join(_few(named), "cls", "left_semi")  # arrays of other sets aren't moved
     both = left.join(full.toDF("a", "xs"), "a").join(full.toDF("b", "ys"), "b")
     common = F.size(F.array_intersect("xs", "ys"))
     return both.select("a", "b", common.alias("common"), (F.size("xs") + F.size("ys") - common).alias("either")).where(F.col("common") * den >= F.col("either") * num).select("a", "b")
@@ -264,10 +271,11 @@ def near_duplicates(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100,
                 names=["cls", "n", "bits", "elements"],
             )
 
-    some = reps.select("doc_id")
-    some = F.broadcast(some) if reps.count() <= SMALL else some
-    sets = docs.join(some, "doc_id", "left_semi").mapInArrow(whole, "cls long, n long, bits array<long>, elements array<long>")
-    sets = save(sets.join(F.broadcast(reps.select("cls")) if reps.count() <= SMALL else reps.select("cls"), "cls", "left_semi").dropDuplicates(["cls"]), "jaccard-sets")
+    sets = docs.join(_few(reps.select("doc_id")), "doc_id", "left_semi").mapInArrow(whole, "cls long, n long, bits array<long>, elements array<long>")
+    sets = save(sets.join(_few(reps.select("cls")), "cls", "left_semi"), "jaccard-sets")
+    if sets.count() > reps.count():  # only where a doc_id repeats
+        every, sets = sets, save(sets.dropDuplicates(["cls"]), "jaccard-sets")
+        drop(every)
 
     links = save(_linked(tried, sets, num, den), "jaccard-links")
     root = save(components(links), "jaccard-roots")
@@ -306,4 +314,4 @@ def keep_one(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100) -> Data
     found = near_duplicates(docs, n, num, den)
     gone = found.where("doc_id <> component_id").select("doc_id").distinct()
     gone = save(gone, "jaccard-gone")
-    return docs.join(F.broadcast(gone) if gone.count() <= SMALL else gone, "doc_id", "left_anti")
+    return docs.join(_few(gone), "doc_id", "left_anti")
