@@ -271,7 +271,8 @@ def near_duplicates(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100,
                 names=["cls", "n", "bits", "elements"],
             )
 
-    sets = docs.join(_few(reps.select("doc_id")), "doc_id", "left_semi").mapInArrow(whole, "cls long, n long, bits array<long>, elements array<long>")
+    some = _few(reps.select(F.col("doc_id").alias("id")).distinct())
+    sets = docs.join(some, F.col("doc_id").eqNullSafe(F.col("id")), "left_semi").mapInArrow(whole, "cls long, n long, bits array<long>, elements array<long>")
     sets = save(sets.join(_few(reps.select("cls")), "cls", "left_semi"), "jaccard-sets")
     if sets.count() > reps.count():  # only where a doc_id repeats
         every, sets = sets, save(sets.dropDuplicates(["cls"]), "jaccard-sets")

@@ -77,6 +77,15 @@ def test_jaccard_of_nothing(spark):
     assert sorted(r.doc_id for r in keep_one(docs(spark, [(3, "a b c d e f"), (2, "a b c d e f"), (9, None), (8, "q")])).collect()) == [2, 8, 9]
 
 
+def test_jaccard_links_rows_without_id(spark):
+    from spanloom.llm.jaccard import near_duplicates
+
+    words = [f"w{i}" for i in range(60)]
+    rows = [(None, " ".join(words)), (5, " ".join([*words, "x"])), (None, "lone text of its own here")]
+    got = near_duplicates(docs(spark, rows)).collect()
+    assert sorted((r.component_id or 0) for r in got) == [0, 5, 5]
+
+
 def test_bins_cover_every_set():
     from spanloom.llm.jaccard import ROOM, _binned, _level, band_of, bins_of
 
