@@ -24,7 +24,7 @@ No step gathers a tile in a task: tiles are sorted streams, joins and sums.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -38,8 +38,9 @@ from .tokens import LOWER, NOT_SPACE, U64, Words, chunks, mix, signed
 BAND = 1.5
 #: Bins of a band, as multiples of the differing elements that its largest sets allow; the last has a bin for each element.
 ROOM = (1.15, 1.5, 2.0, 3.0, 5.0, math.inf)
-#: 64-bit words of a bitmap.
+#: 64-bit words of a bitmap; of a wide one, which has a bit for each element or more, at most. Larger sets only weigh on exact counts.
 BITMAP = 16
+WIDE = 2048
 #: Members of a tile that are compared with as many others in one task, where a tile holds several components.
 BLOCK = 512
 #: Ids up to this count are broadcast (32 MB); more are joined by a shuffle.
@@ -132,16 +133,23 @@ def _few(ids: DataFrame) -> DataFrame:
     return F.broadcast(ids) if ids.count() <= SMALL else ids
 
 
-def _linked(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """The pairs (a, b) of classes that link: bitmaps first, then exact counts for those they leave."""
-    bits = sets.select("cls", "n", "bits")
+def _folded(bits: str, other: str) -> Column:
+    """A wide bitmap, its halves added if the other has half as many words."""
+    half = (F.size(bits) / 2).cast("int")
+    return F.when(F.size(bits) > F.size(other), F.zip_with(F.slice(bits, 1, half), F.slice(bits, half + 1, half), lambda x, y: x.bitwiseXOR(y))).otherwise(F.col(bits))
+
+
+def _linked(pairs: DataFrame, sets: DataFrame, elements: Callable[[DataFrame], DataFrame], num: int, den: int) -> DataFrame:
+    """The pairs (a, b) of classes that link: wide bitmaps first, then exact counts for those they leave."""
+    bits = sets.select("cls", "n", "wide")
     left = pairs.join(bits.toDF("a", "na", "bits_a"), "a").join(bits.toDF("b", "nb", "bits_b"), "b")
-    differ = F.aggregate(F.zip_with("bits_a", "bits_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
+    words = F.zip_with(_folded("bits_a", "bits_b"), _folded("bits_b", "bits_a"), lambda x, y: F.coalesce(F.bit_count(x.bitwiseXOR(y)), F.lit(0)))
+    differ = F.aggregate(words, F.lit(0), lambda s, x: s + x)
     twice = F.col("na") + F.col("nb") - differ  # at most twice the overlap
     left = left.where(twice * (num + den) >= (F.col("na") + F.col("nb")) * (2 * num)).select("a", "b")
     left = save(left, "jaccard-left")
     named = left.select(F.col("a").alias("cls")).union(left.select("b")).distinct()
-    full = sets.select("cls", "elements").join(_few(named), "cls", "left_semi")  # arrays of other sets aren't moved
+    full = elements(named)  # arrays of other sets are neither kept nor moved
     both = left.join(full.toDF("a", "xs"), "a").join(full.toDF("b", "ys"), "b")
     common = F.size(F.array_intersect("xs", "ys"))
     return both.select("a", "b", common.alias("common"), (F.size("xs") + F.size("ys") - common).alias("either")).where(F.col("common") * den >= F.col("either") * num).select("a", "b")
@@ -251,6 +259,7 @@ def near_duplicates(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100,
     hub = F.first(F.struct("cls", "n")).over(W.partitionBy("tile").orderBy("n", "cls").rowsBetween(W.unboundedPreceding, W.currentRow))
     tiles = postings.withColumn("hub", hub).where("cls <> hub.cls").select("tile", "cls", "n", F.col("hub.cls").alias("hub"), F.col("hub.n").alias("hub_n")).distinct()
     tiles = save(tiles, "jaccard-tiles")
+    spark.sparkContext._jvm.System.gc()  # so the files of the largest shuffle go
 
     # each set is tried first with the hub that it shares most tiles with
     near = tiles.where(_sized(F.col("n"), F.col("hub_n"), num, den)).groupBy("cls", "hub").agg(F.count("*").alias("tiles"))
@@ -259,26 +268,41 @@ def near_duplicates(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100,
     wanted = tiles.select("cls").union(tiles.select("hub")).distinct()
     reps = save(ids.where("n > 0").join(wanted, "cls", "left_semi").groupBy("cls").agg(F.min("doc_id").alias("doc_id")), "jaccard-wanted")
 
-    def whole(batches):
+    def signatures(batches):
         for rows, x, begin in _sets(batches, n):
             keys, _ = _keys(x, begin)
-            bits = np.zeros((rows.num_rows, BITMAP), dtype=U64)
-            row = np.repeat(np.arange(rows.num_rows), begin[1:] - begin[:-1])
+            size = begin[1:] - begin[:-1]
+            words = np.array([max(BITMAP, min(WIDE, 1 << (max(0, k - 1) // 64).bit_length())) for k in size.tolist()], dtype=np.int64)
+            at = np.concatenate(([0], np.cumsum(words)))
+            row = np.repeat(np.arange(rows.num_rows), size)
             h = mix(x ^ U64(0x632BE59BD9B4E019))
-            np.bitwise_xor.at(bits.reshape(-1), row * BITMAP + ((h >> U64(6)) % U64(BITMAP)).astype(np.int64), U64(1) << (h & U64(63)))
-            yield pa.RecordBatch.from_arrays(
-                [signed(keys), pa.array(begin[1:] - begin[:-1]), pa.ListArray.from_arrays(pa.array(np.arange(rows.num_rows + 1, dtype=np.int32) * BITMAP), signed(bits.reshape(-1))), pa.ListArray.from_arrays(pa.array(begin.astype(np.int32)), signed(x))],
-                names=["cls", "n", "bits", "elements"],
-            )
-
-    some = _few(reps.select(F.col("doc_id").alias("id")).distinct())
-    sets = docs.join(some, F.col("doc_id").eqNullSafe(F.col("id")), "left_semi").mapInArrow(whole, "cls long, n long, bits array<long>, elements array<long>")
-    sets = save(sets.join(_few(reps.select("cls")), "cls", "left_semi"), "jaccard-sets")
-    if sets.count() > reps.count():  # only where a doc_id repeats
+            wide, bits = np.zeros(at[-1], dtype=U64), np.zeros(rows.num_rows * BITMAP, dtype=U64)
+            np.bitwise_xor.at(wide, at[row] + ((h >> U64(6)).astype(np.int64) & (words[row] - 1)), U64(1) << (h & U64(63)))
+            row = np.repeat(np.arange(rows.num_rows), words)
+            np.bitwise_xor.at(bits, row * BITMAP + (np.arange(len(wide)) - at[row]) % BITMAP, wide)
+            lists = [pa.ListArray.from_arrays(pa.array(k.astype(np.int32)), signed(v)) for k, v in ((np.arange(rows.num_rows + 1) * BITMAP, bits), (at, wide))]
+            yield pa.RecordBatch.from_arrays([signed(keys), pa.array(size), *lists], names=["cls", "n", "bits", "wide"])
+
+    def arrays(batches):
+        for _, x, begin in _sets(batches, n):
+            yield pa.RecordBatch.from_arrays([signed(_keys(x, begin)[0]), pa.ListArray.from_arrays(pa.array(begin.astype(np.int32)), signed(x))], names=["cls", "elements"])
+
+    def of(classes: DataFrame) -> DataFrame:
+        """The rows that stand for the classes."""
+        some = _few(reps.join(classes, "cls", "left_semi").select(F.col("doc_id").alias("id")).distinct())
+        return docs.join(some, F.col("doc_id").eqNullSafe(F.col("id")), "left_semi")
+
+    sets = save(of(reps.select("cls")).mapInArrow(signatures, "cls long, n long, bits array<long>, wide array<long>").join(_few(reps.select("cls")), "cls", "left_semi"), "jaccard-sets")
+    repeats = sets.count() > reps.count()  # only where a doc_id repeats
+    if repeats:
         every, sets = sets, save(sets.dropDuplicates(["cls"]), "jaccard-sets")
         drop(every)
 
-    links = save(_linked(tried, sets, num, den), "jaccard-links")
+    def elements(classes: DataFrame) -> DataFrame:
+        found = of(classes).mapInArrow(arrays, "cls long, elements array<long>").join(_few(classes), "cls", "left_semi")
+        return found.dropDuplicates(["cls"]) if repeats else found
+
+    links = save(_linked(tried, sets, elements, num, den), "jaccard-links")
     root = save(components(links), "jaccard-roots")
 
     # tiles that still hold more than one component: other hubs and the likeliest pairs first, then every pair that may link
@@ -291,7 +315,7 @@ def near_duplicates(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100,
             pairs = pairs.union(others.where(_sized(F.col("n"), F.col("hub_n"), num, den)).select(F.least("cls", "hub").alias("a"), F.greatest("cls", "hub").alias("b")))
         pairs = save(pairs.distinct().join(tried, ["a", "b"], "left_anti"), "jaccard-pairs")
         if not pairs.isEmpty():
-            links = save(links.union(_linked(pairs, sets, num, den)), "jaccard-links")
+            links = save(links.union(_linked(pairs, sets, elements, num, den)), "jaccard-links")
             root = save(components(links), "jaccard-roots")
             tried = tried.union(pairs)
         drop(members)
