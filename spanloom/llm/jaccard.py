@@ -14,9 +14,9 @@ A document's set is its distinct n-word shingles, by 64-bit hash. Two sets link
    (1,024 parity bits) bound the overlap from above: the bits that differ are at most the elements that
    differ. The pairs that are left are counted exactly, by intersecting the arrays.
 4. Links are contracted to components. Of tiles that still hold more than one component, the other hubs
-   and, block by block, the pair of each two components whose bitmaps differ least come next; and if that
+   and, block by block, each component's pair whose bitmaps differ least come next, twice; and if that
    leaves several, all pairs across components whose bitmaps allow a link. Members of one component are
-   never compared again.
+   never compared again, and new links are contracted as links between components.
 
 No step gathers a tile in a task: tiles are sorted streams, joins and sums.
 """
@@ -129,8 +129,19 @@ def _sized(a: Column, b: Column, num: int, den: int) -> Column:
 
 
 def _few(ids: DataFrame) -> DataFrame:
-    """ids, to be broadcast if they are no more than SMALL."""
-    return F.broadcast(ids) if ids.count() <= SMALL else ids
+    """ids (or other narrow columns of longs), to be broadcast if they are no more than SMALL."""
+    return F.broadcast(ids) if ids.count() * len(ids.columns) <= SMALL else ids
+
+
+def _merged(root: DataFrame, links: DataFrame) -> DataFrame:
+    """root (node, root) with more links (a, b), which are contracted to links between its components first."""
+    few = _few(root)
+    named = links
+    for c in ("a", "b"):
+        named = named.join(few.select(F.col("node").alias(c), F.col("root").alias(f"{c}_root")), c, "left").withColumn(c, F.coalesce(f"{c}_root", c)).drop(f"{c}_root")
+    more = save(components(named.where("a <> b")), "jaccard-roots")
+    old = root.join(_few(more.toDF("root", "to")), "root", "left").select("node", F.coalesce("to", "root").alias("root"))
+    return old.union(more.join(root.select("node"), "node", "left_anti").select("node", "root"))
 
 
 def _folded(bits: str, other: str) -> Column:
@@ -155,10 +166,9 @@ def _linked(pairs: DataFrame, sets: DataFrame, elements: Callable[[DataFrame], D
     return both.select("a", "b", common.alias("common"), (F.size("xs") + F.size("ys") - common).alias("either")).where(F.col("common") * den >= F.col("either") * num).select("a", "b")
 
 
-def _mixed(tiles: DataFrame, root: DataFrame) -> DataFrame:
+def _mixed(members: DataFrame, root: DataFrame) -> DataFrame:
     """(tile, cls, n, hub, hub_n, root, held) of the tiles that hold more than one component; held: their members."""
-    members = tiles.select("tile", "cls", "n", "hub", "hub_n").union(tiles.select("tile", "hub", "hub_n", "hub", "hub_n").distinct())
-    members = members.join(root.withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
+    members = members.select("tile", "cls", "n", "hub", "hub_n").join(_few(root).withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
     mixed = members.groupBy("tile").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.count("*").alias("held")).where("r0 <> r1")
     return save(members.join(mixed.select("tile", "held"), "tile"), "jaccard-mixed")
 
@@ -166,7 +176,7 @@ def _mixed(tiles: DataFrame, root: DataFrame) -> DataFrame:
 def _across(members: DataFrame, num: int, den: int, likeliest: bool) -> DataFrame:
     """(a, b) in members (tile, cls, n, root, held, bits): the pairs across components of a tile whose bitmaps allow a link.
 
-    likeliest: of each two components in a block only the pair whose bitmaps differ least.
+    likeliest: of each component in a block only the pair whose bitmaps differ least, so no more pairs than members.
     A tile is cut by hash into blocks of about BLOCK members, and each pair of blocks is compared on its own.
     """
     own, blocks = F.pmod(F.xxhash64("cls", F.lit(7)), "blocks").cast("int"), F.ceil(F.col("held") / F.lit(BLOCK)).cast("int")
@@ -199,7 +209,7 @@ def _block(parts: list[pa.RecordBatch], num: int, den: int, likeliest: bool) ->
     bits = block.column("bits").combine_chunks().flatten().to_numpy().view(U64).reshape(len(cls), -1)
     one = np.flatnonzero(own == lo)
     two = np.flatnonzero(own != lo) if len(one) < len(own) else one
-    best: dict[tuple[int, int], tuple[int, int, int]] = {}
+    least, partner = np.full(len(cls), np.iinfo(np.int64).max), np.zeros(len(cls), dtype=np.int64)
     found: list[tuple[np.ndarray, np.ndarray]] = []
     for i in one.tolist():
         j = two[two > i] if two is one else two
@@ -209,15 +219,18 @@ def _block(parts: list[pa.RecordBatch], num: int, den: int, likeliest: bool) ->
             differ = np.bitwise_count(bits[j] ^ bits[i]).sum(axis=1, dtype=np.int64)
             may = (both - differ) * (num + den) >= both * num * 2
             j, differ = j[may], differ[may]
-            if likeliest:
-                for k, d in zip(j.tolist(), differ.tolist(), strict=True):
-                    pair = (min(root[i], root[k]), max(root[i], root[k]))
-                    if pair not in best or d < best[pair][0]:
-                        best[pair] = (d, i, k)
+            if likeliest and len(j):
+                closer = differ < least[j]
+                least[j[closer]], partner[j[closer]] = differ[closer], i
+                if differ.min() < least[i]:
+                    least[i], partner[i] = differ.min(), j[differ.argmin()]
             elif len(j):
                 found.append((np.full(len(j), i), j))
-    if best:
-        found = [tuple(np.array([x[p] for x in best.values()]) for p in (1, 2))]
+    if likeliest:
+        order = np.lexsort((least, root))
+        i = order[np.concatenate(([True], root[order][1:] != root[order][:-1]))]
+        i = i[least[i] < np.iinfo(np.int64).max]
+        found = [(i, partner[i])] if len(i) else []
     for i, j in found:
         yield pa.RecordBatch.from_arrays([pa.array(np.minimum(cls[i], cls[j])), pa.array(np.maximum(cls[i], cls[j]))], names=["a", "b"])
 
@@ -306,20 +319,21 @@ def near_duplicates(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100,
     root = save(components(links), "jaccard-roots")
 
     # tiles that still hold more than one component: other hubs and the likeliest pairs first, then every pair that may link
-    for last in (False, True):
-        members = _mixed(tiles, root)
+    members = tiles.select("tile", "cls", "n", "hub", "hub_n").union(tiles.select("tile", "hub", "hub_n", "hub", "hub_n").distinct())
+    for last in (False, False, True):
+        were, members = members, _mixed(members, root)
+        drop(were)
         bits = sets.select("cls", F.col("n").alias("size"), "bits")
         pairs = _across(members.where("held > 2").join(bits, "cls"), num, den, likeliest=not last)
         if not last:
-            others = members.where("hub <> cls").join(root.select(F.col("node").alias("hub"), F.col("root").alias("hub_root")), "hub", "left").where("root <> coalesce(hub_root, hub)")
+            others = members.where("hub <> cls").join(_few(root).select(F.col("node").alias("hub"), F.col("root").alias("hub_root")), "hub", "left").where("root <> coalesce(hub_root, hub)")
             pairs = pairs.union(others.where(_sized(F.col("n"), F.col("hub_n"), num, den)).select(F.least("cls", "hub").alias("a"), F.greatest("cls", "hub").alias("b")))
         pairs = save(pairs.distinct().join(tried, ["a", "b"], "left_anti"), "jaccard-pairs")
         if not pairs.isEmpty():
-            links = save(links.union(_linked(pairs, sets, elements, num, den)), "jaccard-links")
-            root = save(components(links), "jaccard-roots")
+            links = save(_linked(pairs, sets, elements, num, den), "jaccard-links")
+            root = save(_merged(root, links), "jaccard-roots")
             tried = tried.union(pairs)
-        drop(members)
-    for x in (tiles, sets, reps):
+    for x in (members, tiles, sets, reps):
         drop(x)
 
     # classes with more than one row or a link; all other rows are their own component
