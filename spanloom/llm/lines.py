@@ -6,9 +6,10 @@ leaf's templates, and the template that agrees in at least SIMILAR of the tokens
 positions becoming variable. Templates whose lines occur in at least `least` documents are recurring, and
 their lines are dropped.
 
-Only distinct lines go through the tree, and only where a leaf holds several. A leaf of more than LEAF distinct
-lines is split by more leading tokens (DEPTHS), and at the last depth by all of them, where a leaf is one line;
-so no leaf, however common its leading tokens, outgrows a task.
+Only distinct lines go through the tree, and only where a leaf holds several. A leaf's key is the same at every
+size. A leaf of more than LEAF distinct lines is dealt by hash into blocks of about LEAF, each block grows templates
+of its own, and the templates of a leaf's blocks are then grown into one another as lines are into templates. So a
+task holds a block, or the templates of a leaf; those are few where many lines share a template.
 """
 
 from __future__ import annotations
@@ -24,8 +25,9 @@ from .jaccard import SMALL
 from .scratch import save
 from .tokens import NOT_SPACE, U64, Words, _STEP, chunks, mix, signed
 
-#: Leading tokens of the tree's leaves: the first, and those that split a full one.
-DEPTHS = (3, 6, 12)
+#: Leading tokens of the tree's leaves.
+DEPTH = 3
+#: Distinct lines of a leaf that are grown in one task; a fuller leaf is grown in blocks, whose templates are merged.
 LEAF = 2000
 SIMILAR = 0.6
 #: Lines of fewer tokens are never dropped.
@@ -39,7 +41,7 @@ def _tokens(line: str) -> list[str]:
 
 
 def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(doc_id, line, n, d0, d1, d2, whole) of the lines with enough tokens: number, token count, hashes of the leading and of all tokens."""
+    """(doc_id, line, leaf, whole) of the lines with enough tokens: number, hashes of the token count with the leading tokens and of all tokens."""
     for rows, data, offsets in chunks(batches):
         ends = np.union1d(np.flatnonzero(data == 10), offsets[1:-1])  # a newline, or the next document
         starts = np.concatenate(([0], ends))
@@ -61,67 +63,92 @@ def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums = np.concatenate((np.zeros(1, U64), np.cumsum(h, dtype=U64)))
         n = words.counts[keep]
         at = words.begin[keep]
-        heads = [mix(sums[at + np.minimum(n, d)] - sums[at] + n.astype(U64)) for d in (*DEPTHS, 1 << 40)]
-        yield pa.RecordBatch.from_arrays([rows.column(0).take(pa.array(doc[keep])), pa.array(keep - base[doc[keep]]), pa.array(n), *map(signed, heads)], names=["doc_id", "line", "n", "d0", "d1", "d2", "whole"])
+        heads = [mix(sums[at + np.minimum(n, d)] - sums[at] + n.astype(U64)) for d in (DEPTH, 1 << 40)]
+        yield pa.RecordBatch.from_arrays([rows.column(0).take(pa.array(doc[keep])), pa.array(keep - base[doc[keep]]), *map(signed, heads)], names=["doc_id", "line", "leaf", "whole"])
 
 
 def templates(lines: list[tuple[int, list[str]]]) -> list[tuple[int, int, str]]:
     """(whole, template's number, template) for a leaf's distinct lines (whole, tokens), taken in their order."""
-    made: list[list[str]] = []
+    number: dict[str, int] = {FIELD: 0}
+    made = np.zeros((16, len(lines[0][1]) if lines else 0), dtype=np.int32)
+    size = 0
     owner = []
     for _, tokens in lines:
-        best, at = SIMILAR, -1
-        for k, t in enumerate(made):
-            same = sum(a == b for a, b in zip(tokens, t, strict=True)) / len(tokens)
-            if same >= best and (at < 0 or same > best):
-                best, at = same, k
-        if at < 0:
-            made.append(list(tokens))
-            at = len(made) - 1
+        own = np.array([number.setdefault(t, len(number)) for t in tokens], dtype=np.int32)
+        same = np.count_nonzero(made[:size] == own, axis=1) / len(own)
+        at = int(same.argmax()) if size else -1
+        if at < 0 or same[at] < SIMILAR:
+            if size == len(made):
+                made = np.concatenate((made, np.zeros_like(made)))
+            made[size] = own
+            at, size = size, size + 1
         else:
-            made[at] = [a if a == b else FIELD for a, b in zip(tokens, made[at], strict=True)]
+            made[at][made[at] != own] = 0
         owner.append(at)
-    return [(whole, k, " ".join(made[k])) for (whole, _), k in zip(lines, owner, strict=True)]
+    word = list(number)
+    text = [" ".join(word[i] for i in t) for t in made[:size].tolist()]
+    return [(whole, k, text[k]) for (whole, _), k in zip(lines, owner, strict=True)]
 
 
 def recurring(docs: DataFrame, least: int = 3) -> tuple[DataFrame, DataFrame]:
     """(lines, found): lines (doc_id, line, whole) of docs, and (whole) of those whose template occurs in at least `least` documents."""
     spark = docs.sparkSession
     id_type = docs.schema["doc_id"].dataType.simpleString()
-    lines = save(docs.select("doc_id", "text").mapInArrow(_lines, f"doc_id {id_type}, line long, n long, d0 long, d1 long, d2 long, whole long"), "lines")
+    lines = save(docs.select("doc_id", "text").mapInArrow(_lines, f"doc_id {id_type}, line long, leaf long, whole long"), "lines")
     # a document counts once for a line, and what is distinct is counted before it is grouped further
-    held = lines.groupBy("whole", "n", "d0", "d1", "d2", "doc_id").agg(F.min("line").alias("line"))
-    distinct = save(held.groupBy("whole", "n", "d0", "d1", "d2").agg(F.count("*").alias("docs"), F.min(F.struct("doc_id", "line")).alias("one")), "lines-distinct")
-    leaf = F.lit(None).cast("string")
-    for k in reversed(range(len(DEPTHS))):
-        full = distinct.groupBy("n", f"d{k}").agg(F.count("*").alias("size")).where("size > 1").withColumnRenamed("size", f"s{k}")
-        distinct = distinct.join(full, ["n", f"d{k}"], "left")
-        own = F.concat_ws("/", F.lit(str(k)), F.col("n").cast("string"), F.col(f"d{k}").cast("string"))
-        leaf = F.when(F.coalesce(F.col(f"s{k}"), F.lit(1)) <= LEAF, F.when(F.col(f"s{k}") > 1, own)).otherwise(leaf)
-    shared = save(distinct.withColumn("leaf", leaf).where("leaf is not null").select("leaf", "whole", "docs", F.col("one.doc_id").alias("doc_id"), F.col("one.line").alias("line")), "lines-leaves")
-
-    some = shared.groupBy("doc_id").agg(F.collect_list(F.struct("line", "leaf", "whole", "docs")).alias("wanted"))
+    held = lines.groupBy("whole", "leaf", "doc_id").agg(F.min("line").alias("line"))
+    distinct = save(held.groupBy("whole", "leaf").agg(F.count("*").alias("docs"), F.min(F.struct("doc_id", "line")).alias("one")), "lines-distinct")
+    full = distinct.groupBy("leaf").agg(F.count("*").alias("size")).where("size > 1")
+    shared = distinct.join(full, "leaf").withColumn("blocks", F.ceil(F.col("size") / F.lit(LEAF)).cast("long")).withColumn("block", F.pmod(F.xxhash64("whole", F.lit(5)), F.col("blocks")))
+    shared = save(shared.select("leaf", "block", "blocks", "whole", "docs", F.col("one.doc_id").alias("doc_id"), F.col("one.line").alias("line")), "lines-leaves")
+
+    wanted = ("leaf", "block", "blocks", "whole", "docs")
+    some = shared.groupBy("doc_id").agg(F.collect_list(F.struct("line", *wanted)).alias("wanted"))
     some = F.broadcast(some) if shared.count() <= SMALL // 64 else some
-    names = "leaf string, whole long, docs long, tokens array<string>"
+    names = "leaf long, block long, blocks long, whole long, docs long, tokens array<string>"
 
     def fetch(batches: Iterator[pa.RecordBatch]):
         for batch in batches:
             out = []
-            for text, wanted in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            for text, some in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 own = text.split("\n")
-                out += [(w["leaf"], w["whole"], w["docs"], _tokens(own[w["line"]])) for w in wanted]
+                out += [(*(w[c] for c in wanted), _tokens(own[w["line"]])) for w in some]
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), (pa.string(), pa.int64(), pa.int64(), pa.list_(pa.string())), strict=True)], names=["leaf", "whole", "docs", "tokens"])
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), (*[pa.int64()] * 5, pa.list_(pa.string())), strict=True)], names=[*wanted, "tokens"])
 
     def grow(table: pa.Table) -> pa.Table:
         rows = sorted(table.to_pylist(), key=lambda r: (-r["docs"], r["whole"]))
         rows = list({r["whole"]: r for r in reversed(rows)}.values())[::-1]
         same = len(rows[0]["tokens"]) if rows else 0
-        found = templates([(r["whole"], r["tokens"]) for r in rows if len(r["tokens"]) == same])
-        return pa.table({"leaf": pa.array([rows[0]["leaf"]] * len(found), pa.string()), "whole": pa.array([w for w, _, _ in found], pa.int64()), "template": pa.array([k for _, k, _ in found], pa.int64())})
+        rows = [r for r in rows if len(r["tokens"]) == same]
+        found = templates([(r["whole"], r["tokens"]) for r in rows])
+        split = bool(rows) and rows[0]["blocks"] > 1
+        first = {k: i for i, (_, k, _) in reversed(list(enumerate(found)))}
+        docs = [0] * len(first)
+        for r, (_, k, _) in zip(rows, found, strict=True):
+            docs[k] += r["docs"]
+        base = rows[0]["block"] << 32 if rows else 0
+        columns = [
+            pa.array([r["leaf"] for r in rows], pa.int64()),
+            pa.array([w for w, _, _ in found], pa.int64()),
+            pa.array([base + k for _, k, _ in found], pa.int64()),
+            pa.array([docs[k] for _, k, _ in found], pa.int64()),
+            pa.array([t.split(" ") if split and first[k] == i else None for i, (_, k, t) in enumerate(found)], pa.list_(pa.string())),
+        ]
+        return pa.table(columns, names=["leaf", "whole", "template", "docs", "tokens"])
+
+    def merge(table: pa.Table) -> pa.Table:
+        """The number, in the leaf, of each block's templates."""
+        table = table.sort_by([("docs", "descending"), ("template", "ascending")])
+        found = templates(list(zip(table.column("template").to_pylist(), table.column("tokens").to_pylist(), strict=True)))
+        return pa.table({"leaf": table.column("leaf"), "template": table.column("template"), "to": pa.array([k for _, k, _ in found], pa.int64())})
 
     texts = docs.where("text is not null").select("doc_id", "text").join(some, "doc_id").select("text", "wanted").mapInArrow(fetch, names)
-    grown = save(texts.groupBy("leaf").applyInArrow(grow, "leaf string, whole long, template long"), "lines-templates")
+    grown = save(texts.groupBy("leaf", "block").applyInArrow(grow, "leaf long, whole long, template long, docs long, tokens array<string>"), "lines-templates")
+    merged = save(grown.where("tokens is not null").select("leaf", "template", "docs", "tokens").groupBy("leaf").applyInArrow(merge, "leaf long, template long, to long"), "lines-merged")
+    grown = grown.select("leaf", "whole", "template")
+    if count := merged.count():
+        grown = grown.join(F.broadcast(merged) if count <= SMALL // 4 else merged, ["leaf", "template"], "left").select("leaf", "whole", F.coalesce("to", "template").alias("template"))
     several = grown.groupBy("leaf", "template").agg(F.count("*").alias("k")).where("k > 1").select("leaf", "template")
     members = grown.join(several, ["leaf", "template"])
     # documents of a template: each counts once, also with several of its lines
@@ -158,7 +185,7 @@ def drop_recurring(docs: DataFrame, least: int = 3) -> DataFrame:
                 own = pa.RecordBatch.from_arrays([pa.array(range(part.num_rows)), part.column(text)], names=["doc_id", "text"])
                 whole: list[dict[int, int]] = [{} for _ in texts]
                 for b in _lines(iter([own])):
-                    for r, line, w in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(6).to_pylist(), strict=True):
+                    for r, line, w in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(3).to_pylist(), strict=True):
                         whole[r][line] = w
                 kept, n, dropped = [], [], []
                 for t, g, w in zip(texts, gone, whole, strict=True):

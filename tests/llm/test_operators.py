@@ -255,6 +255,17 @@ def test_line_templates(spark):
     assert drop_recurring(docs(spark, [])).count() == 0
 
 
+def test_line_templates_of_a_full_leaf(spark):
+    from spanloom.llm.lines import LEAF, drop_recurring
+
+    name = lambda i: "N" + "".join(chr(97 + int(c)) for c in str(i))
+    rows = [(i, f"Thank you for reading this article by {name(i)} today\nown{name(i)} line") for i in range(3 * LEAF)]
+    rows += [(10**6 + i, f"Thank you for {name(7 * i)} {name(11 * i)} {name(13 * i)} {name(17 * i)} {name(19 * i)} {name(23 * i)}") for i in range(LEAF)]
+    got = {r.doc_id: (r.n_lines, r.n_dropped) for r in drop_recurring(docs(spark, rows)).collect()}
+    assert all(got[i] == (2, 1) for i in range(3 * LEAF))
+    assert sum(d for i, (_, d) in got.items() if i >= 10**6) == 0
+
+
 def test_html(spark):
     from spanloom.llm.html import Weights, extract, main_text, region
 
