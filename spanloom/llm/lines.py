@@ -41,7 +41,7 @@ def _tokens(line: str) -> list[str]:
 
 
 def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(doc_id, line, leaf, whole) of the lines with enough tokens: number, hashes of the token count with the leading tokens and of all tokens."""
+    """(doc_id, key, line, leaf, whole) of the lines with enough tokens: number, hashes of the token count with the leading tokens and of all tokens; key: the row's."""
     for rows, data, offsets in chunks(batches):
         ends = np.union1d(np.flatnonzero(data == 10), offsets[1:-1])  # a newline, or the next document
         starts = np.concatenate(([0], ends))
@@ -59,12 +59,13 @@ def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         h = h * _STEP[place % 64] + mix(place.astype(U64))
         keep = np.flatnonzero(words.counts >= LEAST_TOKENS)
         doc = np.searchsorted(offsets, starts, "right") - 1
-        base = np.searchsorted(starts, offsets[:-1], "left")
+        breaks = np.concatenate(([0], np.cumsum(data == 10)))  # a segment begins with its newline, also where that is the document's first byte
+        line = breaks[starts + 1] - breaks[offsets[doc]]
         sums = np.concatenate((np.zeros(1, U64), np.cumsum(h, dtype=U64)))
         n = words.counts[keep]
         at = words.begin[keep]
         heads = [mix(sums[at + np.minimum(n, d)] - sums[at] + n.astype(U64)) for d in (DEPTH, 1 << 40)]
-        yield pa.RecordBatch.from_arrays([rows.column(0).take(pa.array(doc[keep])), pa.array(keep - base[doc[keep]]), *map(signed, heads)], names=["doc_id", "line", "leaf", "whole"])
+        yield pa.RecordBatch.from_arrays([*(rows.column(i).take(pa.array(doc[keep])) for i in (0, 1)), pa.array(line[keep]), *map(signed, heads)], names=["doc_id", "key", "line", "leaf", "whole"])
 
 
 def templates(lines: list[tuple[int, list[str]]]) -> list[tuple[int, int, str]]:
@@ -94,16 +95,18 @@ def recurring(docs: DataFrame, least: int = 3) -> tuple[DataFrame, DataFrame]:
     """(lines, found): lines (doc_id, line, whole) of docs, and (whole) of those whose template occurs in at least `least` documents."""
     spark = docs.sparkSession
     id_type = docs.schema["doc_id"].dataType.simpleString()
-    lines = save(docs.select("doc_id", "text").mapInArrow(_lines, f"doc_id {id_type}, line long, leaf long, whole long"), "lines")
+    # rows that share an id may differ in text: a line is fetched from the row that it was numbered in
+    docs = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("key"), "text")
+    lines = save(docs.mapInArrow(_lines, f"doc_id {id_type}, key long, line long, leaf long, whole long"), "lines")
     # a document counts once for a line, and what is distinct is counted before it is grouped further
-    held = lines.groupBy("whole", "leaf", "doc_id").agg(F.min("line").alias("line"))
-    distinct = save(held.groupBy("whole", "leaf").agg(F.count("*").alias("docs"), F.min(F.struct("doc_id", "line")).alias("one")), "lines-distinct")
+    held = lines.groupBy("whole", "leaf", "doc_id").agg(F.min(F.struct("key", "line")).alias("one"))
+    distinct = save(held.groupBy("whole", "leaf").agg(F.count("*").alias("docs"), F.min("one").alias("one")), "lines-distinct")
     full = distinct.groupBy("leaf").agg(F.count("*").alias("size")).where("size > 1")
     shared = distinct.join(full, "leaf").withColumn("blocks", F.ceil(F.col("size") / F.lit(LEAF)).cast("long")).withColumn("block", F.pmod(F.xxhash64("whole", F.lit(5)), F.col("blocks")))
-    shared = save(shared.select("leaf", "block", "blocks", "whole", "docs", F.col("one.doc_id").alias("doc_id"), F.col("one.line").alias("line")), "lines-leaves")
+    shared = save(shared.select("leaf", "block", "blocks", "whole", "docs", F.col("one.key").alias("key"), F.col("one.line").alias("line")), "lines-leaves")
 
     wanted = ("leaf", "block", "blocks", "whole", "docs")
-    some = shared.groupBy("doc_id").agg(F.collect_list(F.struct("line", *wanted)).alias("wanted"))
+    some = shared.groupBy("key").agg(F.collect_list(F.struct("line", *wanted)).alias("wanted"))
     some = F.broadcast(some) if shared.count() <= SMALL // 64 else some
     names = "leaf long, block long, blocks long, whole long, docs long, tokens array<string>"
 
@@ -143,7 +146,7 @@ def recurring(docs: DataFrame, least: int = 3) -> tuple[DataFrame, DataFrame]:
         found = templates(list(zip(table.column("template").to_pylist(), table.column("tokens").to_pylist(), strict=True)))
         return pa.table({"leaf": table.column("leaf"), "template": table.column("template"), "to": pa.array([k for _, k, _ in found], pa.int64())})
 
-    texts = docs.where("text is not null").select("doc_id", "text").join(some, "doc_id").select("text", "wanted").mapInArrow(fetch, names)
+    texts = docs.where("text is not null").select("key", "text").join(some, "key").select("text", "wanted").mapInArrow(fetch, names)
     grown = save(texts.groupBy("leaf", "block").applyInArrow(grow, "leaf long, whole long, template long, docs long, tokens array<string>"), "lines-templates")
     merged = save(grown.where("tokens is not null").select("leaf", "template", "docs", "tokens").groupBy("leaf").applyInArrow(merge, "leaf long, template long, to long"), "lines-merged")
     grown = grown.select("leaf", "whole", "template")
@@ -182,10 +185,10 @@ def drop_recurring(docs: DataFrame, least: int = 3) -> DataFrame:
             for a in range(0, batch.num_rows, 512):
                 part = batch.slice(a, 512)
                 texts, gone = part.column(text).to_pylist(), part.column(len(names)).to_pylist()
-                own = pa.RecordBatch.from_arrays([pa.array(range(part.num_rows)), part.column(text)], names=["doc_id", "text"])
+                own = pa.RecordBatch.from_arrays([pa.array(range(part.num_rows)), pa.array(range(part.num_rows)), part.column(text)], names=["doc_id", "key", "text"])
                 whole: list[dict[int, int]] = [{} for _ in texts]
                 for b in _lines(iter([own])):
-                    for r, line, w in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(3).to_pylist(), strict=True):
+                    for r, line, w in zip(b.column(0).to_pylist(), b.column(2).to_pylist(), b.column(4).to_pylist(), strict=True):
                         whole[r][line] = w
                 kept, n, dropped = [], [], []
                 for t, g, w in zip(texts, gone, whole, strict=True):

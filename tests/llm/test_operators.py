@@ -266,6 +266,21 @@ def test_line_templates_of_a_full_leaf(spark):
     assert sum(d for i, (_, d) in got.items() if i >= 10**6) == 0
 
 
+def test_line_numbers_and_row_keys(spark):
+    from spanloom.llm.lines import drop_recurring
+
+    rows = [(i, f"\nCopyright by the company all rights\nown{chr(97 + i) * 3} {chr(98 + i)} c d e") for i in range(4)]
+    rows += [(20 + i, f"\nThe same start {chr(97 + i)} q") for i in range(2)]  # one leaf, one line after the newline
+    rows += [(None, f"x{i} y{i} z{i}\n" * i + f"Visit our page {chr(97 + i)} for more news today") for i in range(4)]
+    rows += [(30, "\n\nVisit our page r for more news today"), (30, "Visit our page s for more news today"), (31, "Visit our page t for more news today\n\n")]
+    got = sorted(((r.doc_id, r.text, r.n_lines, r.n_dropped) for r in drop_recurring(docs(spark, rows)).collect()), key=repr)
+    expected = [(i, f"\nown{chr(97 + i) * 3} {chr(98 + i)} c d e", 3, 1) for i in range(4)]
+    expected += [(20 + i, f"\nThe same start {chr(97 + i)} q", 2, 0) for i in range(2)]
+    expected += [(None, "\n".join(f"x{i} y{i} z{i}" for _ in range(i)), i + 1, 1) for i in range(4)]
+    expected += [(30, "\n", 3, 1), (30, "", 1, 1), (31, "\n", 3, 1)]
+    assert got == sorted(expected, key=repr)
+
+
 def test_html(spark):
     from spanloom.llm.html import Weights, extract, main_text, region
 
