@@ -30,8 +30,10 @@ DEPTH = 3
 #: Distinct lines of a leaf that are grown in one task; a fuller leaf is grown in blocks, whose templates are merged.
 LEAF = 2000
 SIMILAR = 0.6
-#: Lines of fewer tokens are never dropped.
+#: Lines of fewer tokens are counted as they are, with their digits, and go through no tree.
 LEAST_TOKENS = 3
+#: Lines of fewer tokens and fewer bytes than this, white space aside, are never dropped.
+LEAST_BYTES = 6
 FIELD = "<*>"
 _FIELD = U64(0x6A09E667F3BCC909)
 
@@ -41,7 +43,7 @@ def _tokens(line: str) -> list[str]:
 
 
 def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(doc_id, key, line, leaf, whole) of the lines with enough tokens: number, hashes of the token count with the leading tokens and of all tokens; key: the row's."""
+    """(doc_id, key, line, leaf, whole) of the lines with enough tokens or bytes: number, hashes of the token count with the leading tokens (null for few) and of all tokens; key: the row's."""
     for rows, data, offsets in chunks(batches):
         ends = np.union1d(np.flatnonzero(data == 10), offsets[1:-1])  # a newline, or the next document
         starts = np.concatenate(([0], ends))
@@ -54,10 +56,12 @@ def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first = np.flatnonzero(inside & np.concatenate(([True], ~inside[:-1]))) if len(data) else np.zeros(0, np.int64)
         begin = np.union1d(first, starts[inside[starts]]) if len(data) else first
         end = np.concatenate((begin[1:], [len(data)]))
-        h = np.where(digit[end] > digit[begin], _FIELD, words.hash) if len(begin) else words.hash
+        many = words.counts >= LEAST_TOKENS
+        h = np.where((digit[end] > digit[begin]) & many[words.row], _FIELD, words.hash) if len(begin) else words.hash
         place = np.arange(len(h)) - words.begin[words.row]
         h = h * _STEP[place % 64] + mix(place.astype(U64))
-        keep = np.flatnonzero(words.counts >= LEAST_TOKENS)
+        size = np.concatenate(([0], np.cumsum(inside)))
+        keep = np.flatnonzero(many | (size[cuts[1:]] - size[cuts[:-1]] >= LEAST_BYTES))
         doc = np.searchsorted(offsets, starts, "right") - 1
         breaks = np.concatenate(([0], np.cumsum(data == 10)))  # a segment begins with its newline, also where that is the document's first byte
         line = breaks[starts + 1] - breaks[offsets[doc]]
@@ -65,7 +69,7 @@ def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n = words.counts[keep]
         at = words.begin[keep]
         heads = [mix(sums[at + np.minimum(n, d)] - sums[at] + n.astype(U64)) for d in (DEPTH, 1 << 40)]
-        yield pa.RecordBatch.from_arrays([*(rows.column(i).take(pa.array(doc[keep])) for i in (0, 1)), pa.array(line[keep]), *map(signed, heads)], names=["doc_id", "key", "line", "leaf", "whole"])
+        yield pa.RecordBatch.from_arrays([*(rows.column(i).take(pa.array(doc[keep])) for i in (0, 1)), pa.array(line[keep]), pa.array(heads[0].view(np.int64), mask=~many[keep]), signed(heads[1])], names=["doc_id", "key", "line", "leaf", "whole"])
 
 
 def templates(lines: list[tuple[int, list[str]]]) -> list[tuple[int, int, str]]:
@@ -101,7 +105,7 @@ def recurring(docs: DataFrame, least: int = 3) -> tuple[DataFrame, DataFrame]:
     # a document counts once for a line, and what is distinct is counted before it is grouped further
     held = lines.groupBy("whole", "leaf", "doc_id").agg(F.min(F.struct("key", "line")).alias("one"))
     distinct = save(held.groupBy("whole", "leaf").agg(F.count("*").alias("docs"), F.min("one").alias("one")), "lines-distinct")
-    full = distinct.groupBy("leaf").agg(F.count("*").alias("size")).where("size > 1")
+    full = distinct.where("leaf is not null").groupBy("leaf").agg(F.count("*").alias("size")).where("size > 1")
     shared = distinct.join(full, "leaf").withColumn("blocks", F.ceil(F.col("size") / F.lit(LEAF)).cast("long")).withColumn("block", F.pmod(F.xxhash64("whole", F.lit(5)), F.col("blocks")))
     shared = save(shared.select("leaf", "block", "blocks", "whole", "docs", F.col("one.key").alias("key"), F.col("one.line").alias("line")), "lines-leaves")
 
@@ -163,8 +167,8 @@ def recurring(docs: DataFrame, least: int = 3) -> tuple[DataFrame, DataFrame]:
 def drop_recurring(docs: DataFrame, least: int = 3) -> DataFrame:
     """docs with text without its recurring lines, and n_lines and n_dropped; a row for each row of docs.
 
-    A line ends at a newline; lines of fewer than LEAST_TOKENS tokens stay, and so do the newlines between lines
-    that stay. A null text stays null with 0 lines; a text of recurring lines only becomes empty. Rows that
+    A line ends at a newline; lines of fewer than LEAST_TOKENS tokens go only where they recur exactly, and stay if
+    they have fewer than LEAST_BYTES bytes too; the newlines between lines that stay are kept. A null text stays null with 0 lines; a text of recurring lines only becomes empty. Rows that
     repeat a doc_id are one document for counting; each loses the lines of its own. Null doc_ids are one id.
     Columns of docs named n_lines or n_dropped are replaced.
     """

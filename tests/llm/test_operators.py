@@ -281,6 +281,14 @@ def test_line_numbers_and_row_keys(spark):
     assert got == sorted(expected, key=repr)
 
 
+def test_recurring_lines_of_few_tokens(spark):
+    from spanloom.llm.lines import drop_recurring
+
+    rows = [(i, f"Read more\n版权所有未经许可不得转载\nPage {i}\n{i}{i}{i}{i}{i}{i}\n\nown{chr(97 + i)}") for i in range(4)]
+    got = sorted((r.doc_id, r.text, r.n_lines, r.n_dropped) for r in drop_recurring(docs(spark, rows)).collect())
+    assert got == [(i, f"Page {i}\n{i}{i}{i}{i}{i}{i}\n\nown{chr(97 + i)}", 6, 2) for i in range(4)]
+
+
 def test_html(spark):
     from spanloom.llm.html import Weights, extract, main_text, region
 
