@@ -4,6 +4,7 @@ A vector is represented by its LENGTH nearest of PIVOTS pivots, in order. Each i
 in inverted files, one for each pivot: (vector, place of the pivot in its order). A query visits the files
 of its own nearest pivots and sums up the footrule distance of the two orders, where a pivot that one of
 them lacks counts as place LENGTH; the nearest by footrule are reranked by the exact measure.
+Equal vectors of a batch are indexed and reranked once, and stand for all their ids afterwards.
 
 The pivots are a bounded sample of the vectors, and every vector is indexed. A task holds one batch
 of vectors and one block of queries; queries are taken in blocks of QUERY_BLOCK, whatever their number. Each batch
@@ -79,9 +80,21 @@ class Shard:
 
 
 def fit(vectors: DataFrame, pivots: int = PIVOTS) -> np.ndarray:
-    """The pivots: the vectors with the smallest hashes of their ids, of the length that most of these have."""
-    some = vectors.orderBy(F.xxhash64("vec_id", F.lit(3))).limit(pivots * 2).toArrow()
-    return _matrix(some.column("embedding").combine_chunks())[1][:pivots]
+    """The pivots: the distinct vectors with the smallest hashes of their ids, of the length that most of these have."""
+    hashed = vectors.withColumn("h", F.xxhash64("embedding"))
+    first = hashed.groupBy("h").agg(F.min(F.struct(F.xxhash64("vec_id", F.lit(3)).alias("o"), "vec_id")).alias("one"))
+    first = first.orderBy("one.o").limit(pivots * 2).select("h", "one.o", "one.vec_id")
+    some = hashed.join(F.broadcast(first), ["h", "vec_id"]).orderBy("o").select("embedding").toArrow()
+    x = _matrix(some.column("embedding").combine_chunks())[1]
+    return x[np.sort(_distinct(x)[0])][:pivots]
+
+
+def _distinct(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(first, which): a row of each distinct vector, and the vector of each row."""
+    x = np.ascontiguousarray(x + 0.0)  # -0.0 is 0.0
+    if not len(x):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    return np.unique(x.view(np.dtype((np.void, x.shape[1] * x.itemsize))).reshape(-1), return_index=True, return_inverse=True)[1:]
 
 
 def search(vectors: DataFrame, queries: DataFrame, k: int = 20, pivots: int = PIVOTS, length: int = LENGTH, rerank: float = RERANK) -> DataFrame:
@@ -146,19 +159,41 @@ def _search_block(vectors: DataFrame, ids: np.ndarray, x: np.ndarray, pivots: np
                 if not len(which) or v.shape[1] != x.shape[1]:
                     continue
                 own = own[which]
+                first, which = _distinct(v)
+                by = np.lexsort((own, which))
+                own, v = own[by], v[first]
+                ends = np.cumsum(np.bincount(which))
                 keep = max(LEAST_RERANK, k + 1, int(rerank * len(v)))
                 shard = Shard(v, pivots, length) if fits and keep < len(v) else None
                 for q in range(0, len(ids), STEP):
-                    found = [_best(shard, orders[i] if fits else None, v, own, x[i], ids[i], k, keep) for i in range(q, min(q + STEP, len(ids)))]
+                    found = [_best(shard, orders[i] if fits else None, v, own, ends, x[i], ids[i], k, keep) for i in range(q, min(q + STEP, len(ids)))]
                     n = [len(f[0]) for f in found]
                     yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids[q : q + STEP], n)), pa.array(np.concatenate([f[0] for f in found])), pa.array(np.concatenate([f[1] for f in found]))], names=["query_id", "vec_id", "score"])
 
     return vectors.mapInArrow(scan, "query_id long, vec_id long, score double")
 
 
-def _best(shard: Shard | None, query_order, v: np.ndarray, own: np.ndarray, query: np.ndarray, query_id: int, k: int, keep: int) -> tuple[np.ndarray, np.ndarray]:
-    some = np.argpartition(shard.footrule(query_order), keep - 1)[:keep] if shard else np.arange(len(v))
-    some = some[own[some] != query_id]
+def _best(shard: Shard | None, query_order, v: np.ndarray, own: np.ndarray, ends: np.ndarray, query: np.ndarray, query_id: int, k: int, keep: int) -> tuple[np.ndarray, np.ndarray]:
+    """ids and scores of the k best; v: distinct vectors, own: the ids of each in turn, ascending, up to its end."""
+    some = np.arange(len(v))
+    if shard:
+        far = shard.footrule(query_order)
+        some = np.flatnonzero(far <= np.partition(far, keep - 1)[keep - 1])  # with all that tie at the cut
     score = np.einsum("ij,j->i", v[some], query)
-    top = np.lexsort((own[some], -score))[:k]
-    return own[some[top]].astype(np.int64), score[top]
+    if len(v) == len(own):
+        some, score = some[own[some] != query_id], score[own[some] != query_id]
+        top = np.lexsort((own[some], -score))[:k]
+        return own[some[top]].astype(np.int64), score[top]
+    ids, scores, held, last = [own[:0]], [score[:0]], 0, None
+    for i in np.argsort(-score, kind="stable"):
+        if held >= k and score[i] != last:
+            break
+        g = some[i]
+        its = own[ends[g - 1] if g else 0 : ends[g]]
+        its = its[its != query_id][:k]
+        ids.append(its)
+        scores.append(np.repeat(score[i], len(its)))
+        held, last = held + len(its), score[i]
+    found, score = np.concatenate(ids), np.concatenate(scores)
+    top = np.lexsort((found, -score))[:k]
+    return found[top].astype(np.int64), score[top]

@@ -222,6 +222,27 @@ def test_nearest_neighbours(spark):
     assert search(odd.limit(0), odd.limit(0)).count() == 0
 
 
+def test_nearest_neighbours_among_copies(spark):
+    from spanloom.llm.ann import fit, search
+
+    rows = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").orderBy("vec_id").collect()
+    held = [(r.vec_id, rows[0].embedding if i % 3 == 0 else r.embedding) for i, r in enumerate(rows)]
+    v = spark.createDataFrame(held, "vec_id long, embedding array<float>").repartition(2)
+    x = np.array([e for _, e in held], dtype=np.float64)
+    ids = np.array([i for i, _ in held])
+    pivots = fit(v)
+    assert len(pivots) == len(np.unique(pivots, axis=0)) == 256
+    got = collections.defaultdict(list)
+    for r in search(v, v.where("vec_id % 40 = 0")).collect():
+        got[r.query_id].append((r["rank"], r.vec_id))
+    hits = {True: [], False: []}
+    for i in np.flatnonzero(ids % 40 == 0):
+        s = np.einsum("ij,j->i", x, x[i])
+        best = [int(ids[j]) for j in np.lexsort((ids, -s)) if j != i][:20]
+        hits[bool(i % 3 == 0)].append(len(set(best) & {n for _, n in got[ids[i]]}) / 20)
+    assert np.mean(hits[True]) >= 0.9 and np.mean(hits[False]) >= 0.9, (np.mean(hits[True]), np.mean(hits[False]))
+
+
 def test_surrogates(spark):
     from spanloom.llm.surrogates import pseudonymize
 
