@@ -25,7 +25,7 @@ SAMPLE_PAGES = 500
 # HTML's own element classes.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCK = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol optgroup option p pre section summary table tbody td tfoot th thead tr ul".split())
-DROPPED = "script|style|noscript|template|svg|math|iframe|object|canvas|audio|video|select|textarea|button|title|datalist|map"
+DROPPED = "script|style|noscript|template|svg|iframe|object|canvas|audio|video|select|textarea|button|title|datalist|map"
 
 #: Prior of containers, in words seen: landmark tags and roles, and words of class and id values.
 BAD_TAGS = frozenset("nav aside footer form dialog menu fieldset".split())
@@ -37,8 +37,10 @@ BAD_WORD = re.compile(
 )
 PRIOR = 30.0
 
+#: A dropped element goes with its end tag; one without an end tag is hidden up to the end of its parent, a self-closed svg is empty.
+_DROPPED = frozenset(DROPPED.split("|"))
 _TOKEN = re.compile(
-    rf"<!--.*?(?:-->|\Z)|<({DROPPED})\b(?:\"[^\"]*\"|'[^']*'|[^'\">])*>.*?(?:</\1\s*>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)>|</?[a-zA-Z][^>]*(?:>|\Z)|[^<]+|<",
+    rf"<!--.*?(?:-->|\Z)|<(?!svg[\s/](?:\"[^\"]*\"|'[^']*'|[^'\">])*/>)({DROPPED})(?=[\s/>])(?:\"[^\"]*\"|'[^']*'|[^'\">])*>.*?</\1\s*>|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)>|</?[a-zA-Z][^>]*(?:>|\Z)|[^<]+|<",
     re.S | re.I,
 )
 _ATTR = re.compile(r"\b(class|id|role|hidden|aria-hidden)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
@@ -112,7 +114,8 @@ def tokens(page: str) -> list[Token]:
                     stack.append((name, tuple(own)))
             where = tuple(f for _, own in stack for f in own)
         elif m[0][0] != "<" or m[0] == "<":
-            out.append(Token(html.unescape(m[0]), False, False, where))
+            if not any(n in _DROPPED for n, _ in stack):
+                out.append(Token(html.unescape(m[0]), False, False, where))
         elif m[1]:
             out.append(Token(m[1].lower(), True, False))
     if marked:

@@ -329,6 +329,16 @@ def test_html(spark):
         assert got[r.page_id].text == "\n".join(b for b in blocks if b)
 
 
+def test_html_of_dropped_elements():
+    from spanloom.llm.html import Weights, extract
+
+    page = lambda x: f"<html><body><article><p>First words of the text</p>{x}<p>Last words of the text</p></article></body></html>"
+    both = "First words of the text\nLast words of the text"
+    for x in ("<video-js></video-js>", "<map-view/>", '<svg class="i"/>', "<div><select><option>gone</div>", "<div><video>gone</div>", "<script>gone</script>", "<svg><text>gone</text></svg>"):
+        assert extract(page(x), Weights()) == both, x
+    assert extract(page("<p>so <math><mi>x</mi></math> is</p>"), Weights()).split("\n")[1] == "so x is"
+
+
 def test_warc(spark):
     from spanloom.llm.scratch import new_path
     from spanloom.llm.warc import coalesced, read_records, round_trip, write_archives
