@@ -16,13 +16,60 @@ def seconds(nanoseconds: Column) -> Column:
     return nanoseconds / F.lit(1e9)
 
 
+# The short escapes of quoted text.
+ESCAPES = (("\\", "\\\\"), ('"', '\\"'), ("\a", "\\a"), ("\b", "\\b"), ("\f", "\\f"), ("\n", "\\n"), ("\r", "\\r"), ("\t", "\\t"), ("\v", "\\v"))
+
+
 def quoted(text: Column) -> Column:
-    """text in double quotes, with quotes, backslashes, newlines, returns and tabs escaped."""
-    for raw, shown in (("\\", "\\\\"), ('"', '\\"'), ("\n", "\\n"), ("\r", "\\r"), ("\t", "\\t")):
+    """text in double quotes: quotes, backslashes and the usual control characters by their short escapes, others that don't print, spaces but the ASCII one included, as \\x, \\u or \\U and their number."""
+
+    def shown(c: Column) -> Column:
+        code = F.ascii(c)
+        number = F.when(code < 128, F.concat(F.lit("\\x"), _hex(code, 2))).when(code < 65536, F.concat(F.lit("\\u"), _hex(code, 4))).otherwise(F.concat(F.lit("\\U"), _hex(code, 8)))
+        out = F.when(c == ESCAPES[0][0], ESCAPES[0][1])
+        for raw, short in ESCAPES[1:]:
+            out = out.when(c == raw, short)
+        return out.when(c.rlike(r"^[\p{C}\p{Z}&&[^ ]]$"), number).otherwise(c)
+
+    plain = ~text.rlike(r'[\p{C}\p{Z}\\"&&[^ ]]')
+    return F.concat(F.lit('"'), F.when(plain, text).otherwise(F.array_join(F.transform(F.split(text, ""), shown), "")), F.lit('"'))
+
+
+def _hex(code: Column, digits: int) -> Column:
+    return F.lpad(F.lower(F.hex(code)), digits, "0")
+
+
+def label_value(text: Column) -> Column:
+    """text in double quotes as the exposition format wants it: only backslashes, quotes and newlines are escaped."""
+    for raw, shown in (("\\", "\\\\"), ('"', '\\"'), ("\n", "\\n")):
         text = F.replace(text, F.lit(raw), F.lit(shown))
     return F.concat(F.lit('"'), text, F.lit('"'))
 
 
+def shortest(x: Column) -> Column:
+    """A double as the shortest text that gives it back: 0.25, 1e+06, 1.5e-05. An exponent stands from 1e+06 up and below 1e-04."""
+    a = F.abs(x)
+    tries = [F.format_string(f"%.{n}e", a) for n in (14, 15, 16)]
+    text = F.when(tries[0].cast("double") == a, tries[0]).when(tries[1].cast("double") == a, tries[1]).otherwise(tries[2])
+    digits = F.regexp_replace(F.concat(F.substring(text, 1, 1), F.regexp_extract(text, r"\.([0-9]+)e", 1)), "0+$", "")
+    exp = F.regexp_extract(text, r"e([+-][0-9]+)$", 1).cast("int")
+    n = F.length(digits)
+    tail = lambda at: F.substring(digits, at, n)
+    long = F.concat(F.substring(digits, 1, 1), F.when(n > 1, F.concat(F.lit("."), tail(F.lit(2)))).otherwise(""), F.lit("e"), F.when(exp < 0, "-").otherwise("+"), F.lpad(F.abs(exp).cast("string"), 2, "0"))
+    whole = F.concat(F.rpad(F.substring(digits, F.lit(1), exp + 1), exp + 1, "0"), F.when(n > exp + 1, F.concat(F.lit("."), tail(exp + 2))).otherwise(""))
+    small = F.concat(F.lit("0."), F.repeat(F.lit("0"), -exp - 1), digits)
+    out = F.when((exp < -4) | (exp >= 6), long).when(exp >= 0, whole).otherwise(small)
+    out = F.concat(F.when(x < 0, "-").otherwise(""), F.when(a == 0, "0").otherwise(out))
+    return F.when(F.isnan(x), "NaN").when(a == float("inf"), F.when(x > 0, "+Inf").otherwise("-Inf")).otherwise(out)
+
+
+def escaped(text: Column) -> Column:
+    """text for HTML and SVG, also in attributes."""
+    for raw, shown in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&#x27;")):
+        text = F.replace(text, F.lit(raw), F.lit(shown))
+    return text
+
+
 def nines(p: Column, most: Column) -> Column:
     """The percentile axis: log10(1 / (1 - p)), and `most` at p = 1."""
     return F.when(p >= 1.0, most.cast("double")).otherwise(F.log10(F.lit(1.0) / F.when(p >= 1.0, 1.0).otherwise(F.lit(1.0) - p)))
@@ -33,26 +80,27 @@ def nines_label(i: Column) -> Column:
     return F.when(i == 0, "0%").when(i == 1, "90%").when(i == 2, "99%").otherwise(F.concat(F.lit("99."), F.repeat(F.lit("9"), i - 2), F.lit("%")))
 
 
-def duration(nanoseconds: float) -> str:
-    """A duration as text: hours, minutes and seconds from a second up (1h2m3.5s), else the largest unit that is not below one (1.5ms, 20µs, 7ns); 0s for zero."""
-    n = int(nanoseconds)
-    sign, n = ("-", -n) if n < 0 else ("", n)
+def duration(nanoseconds: Column) -> Column:
+    """A duration as text, a fraction of a nanosecond cut off: hours, minutes and seconds from a second up (1h2m3.5s), else the largest unit that is not below one (1.5ms, 20µs, 7ns); 0s for zero."""
+    signed = nanoseconds.cast("long")
+    n = F.abs(signed)
 
-    def part(value: int, unit: int) -> str:
-        whole, rest = divmod(value, unit)
-        return f"{whole}" + (f".{rest:0{len(str(unit)) - 1}d}".rstrip("0") if rest else "")
+    def part(value: Column, digits: int) -> Column:
+        unit = 10**digits
+        rest = F.regexp_replace(F.lpad((value % unit).cast("string"), digits, "0"), "0+$", "") if digits else F.lit("")
+        whole = F.floor(value / F.lit(unit)) if digits else value
+        return F.concat(whole.cast("string"), F.when(rest != "", F.concat(F.lit("."), rest)).otherwise(""))
 
-    if n == 0:
-        return "0s"
-    for unit, name in ((1, "ns"), (1_000, "µs"), (1_000_000, "ms")):
-        if n < unit * 1000:
-            return f"{sign}{part(n, unit)}{name}"
-    minutes, rest = divmod(n, 60_000_000_000)
-    hours, minutes = divmod(minutes, 60)
-    return sign + (f"{hours}h" if hours else "") + (f"{minutes}m" if hours or minutes else "") + f"{part(rest, 1_000_000_000)}s"
+    seconds, minute = part(n % 60_000_000_000, 9), 60_000_000_000
+    minutes = F.floor((n - n % minute) / F.lit(minute))
+    hours, minutes = F.floor(minutes / 60), minutes % 60
+    clock = F.concat(F.when(hours > 0, F.concat(hours.cast("string"), F.lit("h"))).otherwise(""), F.when((hours > 0) | (minutes > 0), F.concat(minutes.cast("string"), F.lit("m"))).otherwise(""), seconds, F.lit("s"))
+    out = F.when(n == 0, "0s").when(n < 1000, F.concat(part(n, 0), F.lit("ns"))).when(n < 1_000_000, F.concat(part(n, 3), F.lit("µs"))).when(n < 1_000_000_000, F.concat(part(n, 6), F.lit("ms"))).otherwise(clock)
+    return F.concat(F.when(signed < 0, "-").otherwise(""), out)
 
 
-def with_viewbox(svg: str, width: int, height: int) -> str:
+def with_viewbox(svg: Column, width: int, height: int) -> Column:
     """svg with a viewBox in its first tag; unchanged if it has no tag's end."""
-    head, end, tail = svg.partition(">")
-    return f'{head} viewBox="-0.5 -0.5 {width} {height}">{tail}' if end else svg
+    end = F.instr(svg, ">")
+    box = F.concat(F.substring(svg, F.lit(1), end - 1), F.lit(f' viewBox="-0.5 -0.5 {width} {height}">'), F.substring(svg, end + 1, F.length(svg)))
+    return F.when(end > 0, box).otherwise(svg)

@@ -33,6 +33,13 @@ def merge(*hists: DataFrame) -> DataFrame:
     return reduce(DataFrame.unionByName, hists).groupBy(*names).agg(F.sum("n").alias("n"))
 
 
+def left_join(left: DataFrame, right: DataFrame, on: list[str]) -> DataFrame:
+    """left with right's other columns, by equal values of `on`; nulls are equal."""
+    named = right.select(*(F.col(c).alias(f"_on_{c}") if c in on else F.col(c) for c in right.columns))
+    same = reduce(lambda a, b: a & b, (F.col(c).eqNullSafe(F.col(f"_on_{c}")) for c in on))
+    return left.join(named, same, "left").drop(*(f"_on_{c}" for c in on))
+
+
 def to_arrays(hist: DataFrame, by: list[str]) -> DataFrame:
     """One row for each name: slots as an array of structs in slot order. At most 3,648 (or 32,768) entries."""
     rest = [c for c in hist.columns if c not in by]

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions.slots import MAX_INT, float_lower, float_middle, float_slot, int_slot, lower, middle, upper
-from .hist import FLOAT_SLOT, INT_SLOT
+from .hist import FLOAT_SLOT, INT_SLOT, left_join
 
 NAN = float("nan")
 
@@ -29,7 +29,7 @@ def _middle(hist: DataFrame) -> Column:
 def _with_names(out: DataFrame, names: DataFrame | None, by: list[str], fill: dict) -> DataFrame:
     if names is None:
         return out
-    out = names.select(*by).distinct().join(out, by, "left")
+    out = left_join(names.select(*by).distinct(), out, by)
     return out.select(*by, *(F.coalesce(c, F.lit(fill[c])).alias(c) for c in out.columns if c not in by))
 
 
@@ -87,7 +87,7 @@ def quantiles(hist: DataFrame, by: list[str], qs: list[float], names: DataFrame
     out = found.select(*by, "q", F.coalesce(value, empty).alias("value"))
     if names is not None:
         every = names.select(*by).distinct().withColumn("q", F.explode(F.array(*map(F.lit, map(float, qs)))))
-        out = every.join(out, [*by, "q"], "left").select(*by, "q", F.coalesce("value", empty).alias("value"))
+        out = left_join(every, out, [*by, "q"]).select(*by, "q", F.coalesce("value", empty).alias("value"))
     return out
 
 
@@ -103,7 +103,7 @@ def cdf(hist: DataFrame, by: list[str], values: list[float], names: DataFrame |
     out = rows.groupBy(*by, "v").agg((F.sum(F.when(below, F.col("n")).otherwise(0)) / F.sum("n")).alias("p"))
     if names is not None:
         every = names.select(*by).distinct().withColumn("v", F.explode(F.array(*map(F.lit, values)))).withColumn("v", F.col("v").cast(out.schema["v"].dataType))
-        out = every.join(out, [*by, "v"], "left").withColumn("p", F.coalesce("p", F.lit(NAN)))
+        out = left_join(every, out, [*by, "v"]).withColumn("p", F.coalesce("p", F.lit(NAN)))
     return out
 
 
@@ -111,6 +111,7 @@ def percentiles(hist: DataFrame, by: list[str]) -> DataFrame:
     """(by, value, count, total): the walk along the CDF, from (lowest value of the first slot, 0) through the highest value of each slot and the count up to it."""
     order = W.partitionBy(*by).orderBy(*INT_SLOT).rowsBetween(W.unboundedPreceding, 0)
     rows = hist.withColumn("count", F.sum("n").over(order)).withColumn("total", F.sum("n").over(W.partitionBy(*by)))
-    first = hist.groupBy(*by).agg(F.min(F.struct(*INT_SLOT)).alias("s"), F.sum("n").alias("total"))
-    begin = first.select(*by, lower(F.col("s.bucket"), F.col("s.entry")).alias("value"), F.lit(0).cast("long").alias("count"), "total")
-    return rows.select(*by, upper(F.col("bucket"), F.col("entry")).alias("value"), "count", "total").unionByName(begin)
+    step = F.struct(upper(F.col("bucket"), F.col("entry")).alias("value"), F.col("count"))
+    begin = F.struct(lower(F.col("bucket"), F.col("entry")).alias("value"), F.lit(0).cast("long").alias("count"))
+    steps = F.when(F.col("count") == F.col("n"), F.array(begin, step)).otherwise(F.array(step))  # only the first slot's count is its own
+    return rows.withColumn("step", F.explode(steps)).select(*by, "step.value", "step.count", "total")

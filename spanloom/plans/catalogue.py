@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import codec
-from ..functions.kinds import error_kind
+from ..functions.kinds import duration, error_kind, quoted, shortest
 from ..functions.slots import float_lower, float_middle, lower, middle, upper
 from ..operators import hist as H, registry as R, stats as S
 from ..sinks import export as X
+from ..sources.spans import Timers, observations, spans
 from ..streaming import windows as T
 
 QS = [0.0, 0.25, 0.5, 0.9, 0.99, 1.0]
@@ -103,6 +104,119 @@ def _float_quantile_sql(with_: str, by: str) -> str:
     return f"{with_}, c0 AS (SELECT *, sum(n) OVER (PARTITION BY {by} ORDER BY slot) AS acc, sum(n) OVER (PARTITION BY {by}) AS tot FROM fx), k AS (SELECT *, floor(q * tot + 0.5) AS want FROM c0 CROSS JOIN (SELECT unnest({QS}::DOUBLE[]) AS q)), g AS (SELECT {by}, q, CASE WHEN any_value(want) <= 0 THEN min(slot) - min(slot) % 32 ELSE min(CASE WHEN acc >= want THEN slot END) END AS slot FROM k GROUP BY {by}, q) SELECT {by}, q, CAST({_float_at('0::DOUBLE', '(1.0::DOUBLE / 64 - pow(2.0::DOUBLE, -23))')} AS FLOAT) AS value FROM (SELECT *, CASE WHEN slot >= 16384 THEN slot - 16384 ELSE 16383 - slot END AS c FROM g)"
 
 
+def _short(x: str) -> str:
+    """A double as the shortest text that gives it back, with an exponent from 1e+06 up and below 1e-04."""
+    t = f"CASE WHEN CAST(printf('%.14e', abs({x})) AS DOUBLE) = abs({x}) THEN printf('%.14e', abs({x})) WHEN CAST(printf('%.15e', abs({x})) AS DOUBLE) = abs({x}) THEN printf('%.15e', abs({x})) ELSE printf('%.16e', abs({x})) END"
+    d, e = f"rtrim(replace(split_part({t}, 'e', 1), '.', ''), '0')", f"CAST(split_part({t}, 'e', 2) AS INTEGER)"
+    long = f"substr({d}, 1, 1) || CASE WHEN length({d}) > 1 THEN '.' || substr({d}, 2) ELSE '' END || 'e' || CASE WHEN {e} < 0 THEN '-' ELSE '+' END || lpad(CAST(abs({e}) AS VARCHAR), 2, '0')"
+    whole = f"rpad(substr({d}, 1, {e} + 1), {e} + 1, '0') || CASE WHEN length({d}) > {e} + 1 THEN '.' || substr({d}, {e} + 2) ELSE '' END"
+    return f"(CASE WHEN {x} = 0 THEN '0' ELSE CASE WHEN {x} < 0 THEN '-' ELSE '' END || CASE WHEN {e} < -4 OR {e} >= 6 THEN {long} WHEN {e} >= 0 THEN {whole} ELSE '0.' || repeat('0', -{e} - 1) || {d} END END)"
+
+
+def _long(n: str) -> str:
+    """A duration in whole nanoseconds, 0 at least, as text."""
+    part = lambda v, k: f"CAST({v} // {10**k} AS VARCHAR) || rtrim('.' || rtrim(lpad(CAST({v} % {10**k} AS VARCHAR), {k}, '0'), '0'), '.')"
+    clock = f"CASE WHEN {n} >= 3600000000000 THEN CAST({n} // 3600000000000 AS VARCHAR) || 'h' ELSE '' END || CASE WHEN {n} >= 60000000000 THEN CAST({n} // 60000000000 % 60 AS VARCHAR) || 'm' ELSE '' END || {part(f'({n} % 60000000000)', 9)} || 's'"
+    return f"(CASE WHEN {n} = 0 THEN '0s' WHEN {n} < 1000 THEN CAST({n} AS VARCHAR) || 'ns' WHEN {n} < 1000000 THEN {part(n, 3)} || 'µs' WHEN {n} < 1000000000 THEN {part(n, 6)} || 'ms' ELSE {clock} END)"
+
+
+_LADDER = "(SELECT 0.0::DOUBLE AS q, -1 AS least UNION ALL SELECT 0.5, -1 UNION ALL SELECT 1, -1 UNION ALL SELECT CAST('0.' || repeat('9', CAST(k AS INTEGER)) AS DOUBLE), CAST(pow(10, k) AS BIGINT) // 2 FROM range(1, 18) g(k))"
+_POINTS = f"{_INT}, {_NAMES}, {_MOMENTS}, {_quantile_sql(f'(SELECT list(q) FROM {_LADDER})')}, p AS (SELECT name, 0 AS part, NULL::VARCHAR AS kind, NULL::DOUBLE AS q, coalesce(total, 0)::DOUBLE AS value FROM names LEFT JOIN m USING (name) UNION ALL SELECT name, 1, kind, NULL, count(*) FROM spans WHERE kind <> '' GROUP BY name, kind UNION ALL SELECT name, 2, NULL, NULL, coalesce(a, 0) / 1e9::DOUBLE FROM names LEFT JOIN m USING (name) UNION ALL SELECT name, 3, NULL, q, coalesce(value, 9223372036854775743)::DOUBLE / 1e9::DOUBLE FROM (SELECT * FROM names CROSS JOIN {_LADDER}) LEFT JOIN m USING (name) LEFT JOIN r USING (name, q) WHERE least < coalesce(total, 0))"
+
+
+def _lines_sql(head: str) -> str:
+    return f"{_POINTS} SELECT {head} || CASE part WHEN 0 THEN ' total=' || CAST(value::BIGINT AS VARCHAR) || 'i' WHEN 1 THEN ',error=\"' || kind || '\" count=' || CAST(value::BIGINT AS VARCHAR) || 'i' WHEN 2 THEN ' average=' || {_short('value')} ELSE ',percentile=' || {_short('q')} || ' value=' || {_short('value')} END AS value FROM p"
+
+
+_SAMPLES = f"{_INT}, {_NAMES}, {_MOMENTS}, smp AS (SELECT 'mon_total' AS family, name, NULL::VARCHAR AS error, coalesce(total, 0)::DOUBLE AS value FROM names LEFT JOIN m USING (name) UNION ALL SELECT 'mon_errors', name, kind, count(*) FROM spans WHERE kind <> '' GROUP BY name, kind UNION ALL SELECT 'mon_average', name, NULL, coalesce(a, 0) / 1e9::DOUBLE FROM names LEFT JOIN m USING (name))"
+_BUCKETS = f"{_WALK}, z AS (SELECT *, (count - lag(count, 1, 0) OVER (PARTITION BY name ORDER BY count)) * value::DOUBLE AS part FROM walk), bk AS (SELECT name, value::DOUBLE AS le, count, total, sum(part) OVER (PARTITION BY name) AS s FROM z), en AS (SELECT name, any_value(total) AS n, any_value(s) AS s FROM bk GROUP BY name UNION ALL SELECT name, 0, 0 FROM names WHERE name NOT IN (SELECT name FROM h))"
+_EXPOSED = f"""{_SAMPLES}, {_BUCKETS}
+SELECT family || '{{name="' || name || '"' || coalesce(',error="' || error || '"', '') || '}} ' || {_short('value')} AS value FROM smp
+UNION ALL SELECT 'mon_histogram_bucket{{name="' || name || '",le="' || {_short('le')} || '"}} ' || CAST(count AS VARCHAR) FROM bk
+UNION ALL SELECT unnest(['mon_histogram_bucket{{name="' || name || '",le="+Inf"}} ' || CAST(n AS VARCHAR), 'mon_histogram_sum{{name="' || name || '"}} ' || {_short('s')}, 'mon_histogram_count{{name="' || name || '"}} ' || CAST(n AS VARCHAR)]) FROM en
+UNION ALL SELECT unnest(['# HELP mon_total Total executed', '# TYPE mon_total counter', '# HELP mon_average Average of monitored time', '# TYPE mon_average gauge', '# HELP mon_histogram Histogram of monitored times (milliseconds)', '# TYPE mon_histogram histogram'])
+UNION ALL SELECT unnest(['# HELP mon_errors Count of errors', '# TYPE mon_errors counter']) WHERE EXISTS (SELECT 1 FROM spans WHERE kind <> '')"""
+
+
+def _chart_sql(names: str, power: int, width: int, height: int) -> str:
+    """The lines of the chart of the names that meet a condition."""
+    far = f"{power}" if power > 0 else f"(SELECT length(CAST(arg_max(total, name) AS VARCHAR)) FROM walk WHERE {names})"
+    least = f"1.0::DOUBLE - pow(0.1::DOUBLE, {power})" if power > 0 else "1.0"
+    px = lambda x, size: f"CAST(CAST(floor({x} * {size} + 0.5) AS BIGINT) AS VARCHAR)"
+    return f"""{_INT}, {_WALK}, fa AS (SELECT {far} AS far), pt AS (SELECT name, CASE WHEN count = total THEN far::DOUBLE ELSE log10(1.0::DOUBLE / (1.0::DOUBLE - count::DOUBLE / total)) END AS x, value::DOUBLE AS y FROM walk, fa WHERE {names} AND count::DOUBLE / total <= {least}),
+hi AS (SELECT greatest(max(y), 1) AS high, any_value(far) AS far FROM pt, fa HAVING count(*) > 0),
+tk AS (SELECT k::DOUBLE AS x, CASE k WHEN 0 THEN '0%' WHEN 1 THEN '90%' WHEN 2 THEN '99%' ELSE '99.' || repeat('9', CAST(k AS INTEGER) - 2) || '%' END AS label, far FROM hi, range(0, 20) g(k) WHERE k <= far UNION ALL SELECT log10(2::DOUBLE), '50%', far FROM hi UNION ALL SELECT log10(4::DOUBLE), '75%', far FROM hi),
+nm AS (SELECT name, row_number() OVER (ORDER BY name) AS k, string_agg({px('(x / far)', width)} || ',' || CAST({height} - CAST(floor(y / high * {height} + 0.5) AS BIGINT) AS VARCHAR), ' ' ORDER BY x, y) AS points FROM pt, hi GROUP BY name)
+SELECT 0 AS part, 0::DOUBLE AS at, '<svg xmlns="http://www.w3.org/2000/svg" width="{width}" height="{height}" viewBox="-0.5 -0.5 {width} {height}">' AS value FROM hi
+UNION ALL SELECT 1, x, '<line stroke="black" stroke-width="1" y1="0" x1="' || {px('(x / far)', width)} || '" x2="' || {px('(x / far)', width)} || '" y2="{height}"/>' FROM tk WHERE x > 0
+UNION ALL SELECT 2, x, '<text x="' || {px('(x / far)', width)} || '" y="{height}">' || label || '</text>' FROM tk
+UNION ALL SELECT 3, k::DOUBLE, '<text text-anchor="end" x="{width}" y="' || CAST({height} - CAST(floor(k * {height} / 4.0::DOUBLE + 0.5) AS BIGINT) AS VARCHAR) || '">' || {_long('CAST(trunc(high * k / 4.0::DOUBLE) AS BIGINT)')} || '</text>' FROM hi, range(1, 5) g(k)
+UNION ALL SELECT 4, k::DOUBLE, '<polyline fill="none" stroke-width="3" stroke="' || ['steelblue', 'seagreen', 'firebrick', 'darkorange', 'purple', 'teal'][(k - 1) % 6 + 1] || '" points="' || points || '"><title>' || name || '</title></polyline>' FROM nm
+UNION ALL SELECT 5, 0, '</svg>' FROM hi"""
+
+
+def _timers(spark, sf: str) -> DataFrame:
+    """What timers on the driver record: named, under the name of the function they stand in, of a function that keeps its name, and of one that fails."""
+    timers = Timers()
+
+    def automatic() -> None:
+        with timers.start():
+            pass
+
+    @timers.timed
+    def cached() -> None:
+        pass
+
+    automatic()
+    for _ in range(2):
+        cached()
+        with timers.start("named"):
+            pass
+    try:
+        with timers.start("named"):
+            raise ValueError("some error: whatever")
+    except ValueError:
+        pass
+    return spans(timers.frame(spark)).groupBy("name").agg(F.count("*").alias("total"), F.max("kind").alias("kind"), F.min(F.col("duration_ns") >= 0).alias("monotonic"))
+
+
+def _stopped(spark, sf: str, enabled: bool = True) -> DataFrame:
+    """Spans of events as a source of timers gives them: times of start and stop, and an error's name and message."""
+    e = _read(spark, sf, "events").where("value is not null")
+    rows = e.select(F.col("event_type").alias("name"), (F.col("event_id") * 1000).alias("start_ns"), (F.col("event_id") * 1000 + _v()).alias("stop_ns"), F.when(F.col("user_id") % 11 == 0, F.concat(F.lit("n"), (F.col("user_id") % 3).cast("string"))).when(F.col("user_id") % 11 == 1, "").alias("err_name"), F.when(F.col("user_id") % 5 == 0, "io: closed").when(F.col("user_id") % 5 == 1, "eof").when(F.col("user_id") % 5 == 2, "two words").alias("err_msg"))
+    return spans(rows, enabled).groupBy("name", "kind").agg(F.count("*").alias("n"), F.sum("duration_ns").alias("sum"))
+
+
+_STOPPED = "SELECT event_type AS name, CASE WHEN user_id % 11 = 0 THEN 'n' || CAST(user_id % 3 AS VARCHAR) WHEN user_id % 11 = 1 THEN '' WHEN user_id % 5 = 0 THEN 'io' WHEN user_id % 5 = 1 THEN 'eof' WHEN user_id % 5 = 2 THEN 'error' ELSE '' END AS kind, count(*) AS n, CAST(sum(CAST(floor(value * 1e6 + 0.5) AS BIGINT)) AS BIGINT) AS sum FROM events WHERE value IS NOT NULL GROUP BY ALL"
+
+
+def _quoted(spark, sf: str) -> DataFrame:
+    """Regions' names with characters that quoting escapes, or keeps."""
+    odd = F.array(*(F.lit(x) for x in ("", '"', "\\", "\n", "\t", "\x01", "\x7f", "\x0b", "é日", "\u00a0", "\u200b", "\U0001f600")))
+    rows = _read(spark, sf, "region").select("r_name", F.posexplode(odd).alias("k", "c"))
+    return rows.select("r_name", "k", quoted(F.concat("r_name", "c")).alias("text"))
+
+
+_QUOTED = r"""SELECT r_name, k, '"' || r_name || x || '"' AS text FROM region, (VALUES (0, ''), (1, '\"'), (2, '\\'), (3, '\n'), (4, '\t'), (5, '\x01'), (6, '\x7f'), (7, '\v'), (8, 'é日'), (9, '\u00a0'), (10, '\u200b'), (11, chr(128512))) t(k, x)"""
+
+
+def _formats(spark, sf: str) -> DataFrame:
+    """Durations of events, from nanoseconds to hours, and their values as text."""
+    scaled = F.explode(F.array(*(F.lit(x) for x in (0, 1, 1_000, 1_000_000)))).alias("scale")
+    rows = _read(spark, sf, "events").where("value is not null").select("event_id", (_v() % 1_000_003).alias("v"), scaled)
+    return rows.select("event_id", "scale", duration(F.col("v") * F.col("scale")).alias("duration"), shortest(F.col("v").cast("double") * F.col("scale") / 65536.0).alias("short"))
+
+
+def _direct(spark, sf: str) -> DataFrame:
+    rows = _read(spark, sf, "orders").withColumn("cents", F.floor(F.col("o_totalprice") * 100 + F.lit(0.5)))
+    return R.snapshot(observations(rows, "o_orderpriority", "cents"))
+
+
+def _drained(spark, sf: str) -> DataFrame:
+    found = T.drained(_stream(spark, sf), "v", ["name"])
+    return H.merge(found.drop("batch"))
+
+
 def _rounded(df: DataFrame, **places: int) -> DataFrame:
     return df.select(*(F.round(c, places[c]).alias(c) if c in places else c for c in df.columns))
 
@@ -180,27 +294,38 @@ CATALOGUE = {
     ),
     "merge_slots": (_merged, f"{_ACCT} SELECT slot, CAST(sum(n) AS BIGINT) AS n FROM fh GROUP BY slot"),
     "percentile_ladder": (lambda s, d: X.ladder(S.total(_hist(s, d), ["name"], _names(s, d))), f"{_INT}, {_NAMES}, t AS (SELECT name, coalesce(sum(n), 0) AS total FROM names LEFT JOIN h USING (name) GROUP BY name) SELECT name, q FROM t CROSS JOIN (SELECT unnest([0.0, 0.5, 1.0]::DOUBLE[]) AS q) UNION ALL SELECT name, CAST('0.' || repeat('9', CAST(k AS INTEGER)) AS DOUBLE) FROM t CROSS JOIN range(1, 18) g(k) WHERE CAST(pow(10, k) AS BIGINT) // 2 < total"),
-    "influx_points": (
-        lambda s, d: _rounded(X.line_points(_hist(s, d), _errors(s, d), _names(s, d)), value=6),
-        f"{_INT}, {_NAMES}, {_MOMENTS}, {_quantile_sql(str([0.0, 0.5, *X.STEPS, 1.0]) + "::DOUBLE[]")}, p AS (SELECT name, 0 AS part, NULL::VARCHAR AS kind, NULL::DOUBLE AS q, coalesce(total, 0)::DOUBLE AS value FROM names LEFT JOIN m USING (name) UNION ALL SELECT name, 1, kind, NULL, count(*) FROM spans WHERE kind <> '' GROUP BY name, kind UNION ALL SELECT name, 2, NULL, NULL, coalesce(a, 0) / 1e9 FROM names LEFT JOIN m USING (name) UNION ALL SELECT name, 3, NULL, q, coalesce(value, 9223372036854775743) / 1e9 FROM (SELECT * FROM names CROSS JOIN (SELECT unnest({[0.0, 0.5, *X.STEPS, 1.0]}::DOUBLE[]) AS q, unnest({[0, 0, *(10**k // 2 for k in range(1, 18)), 0]}) AS least)) LEFT JOIN m USING (name) LEFT JOIN r USING (name, q) WHERE q IN (0, 0.5, 1) OR least < coalesce(total, 0)) SELECT name, part, kind, q, round(value, 6) AS value FROM p",
-    ),
-    "influx_lines": (lambda s, d: X.lines(X.line_points(_hist(s, d), _errors(s, d), _names(s, d)), "app"), None),
-    "prom_describe": (lambda s, d: X.describe(s), "SELECT * FROM (VALUES " + ", ".join(str(f) for f in X.FAMILIES) + ") t(family, type, labels, help)"),
-    "prom_samples": (
-        lambda s, d: _rounded(X.samples(_hist(s, d), _errors(s, d), _names(s, d)), value=6),
-        f"{_INT}, {_NAMES}, {_MOMENTS} SELECT 'mon_total' AS family, name, NULL::VARCHAR AS error, coalesce(total, 0)::DOUBLE AS value FROM names LEFT JOIN m USING (name) UNION ALL SELECT 'mon_errors', name, kind, count(*) FROM spans WHERE kind <> '' GROUP BY name, kind UNION ALL SELECT 'mon_average', name, NULL, round(coalesce(a, 0) / 1e9, 6) FROM names LEFT JOIN m USING (name)",
+    "influx_points": (lambda s, d: _rounded(X.line_points(_hist(s, d), _errors(s, d), _names(s, d)), value=6), f"{_POINTS} SELECT name, part, kind, q, round(value, 6) AS value FROM p"),
+    "influx_lines": (lambda s, d: X.lines(X.line_points(_hist(s, d), _errors(s, d), _names(s, d)), "app"), _lines_sql("'\"app\",name=\"' || name || '\"'")),
+    "default_lines": (lambda s, d: X.lines(X.line_points(_hist(s, d), _errors(s, d), _names(s, d))), _lines_sql("'\"' || name || '\"'")),
+    "prom_describe": (
+        lambda s, d: X.describe(s),
+        "SELECT * FROM (VALUES ('mon_total', 'counter', 'name', 'Total executed'), ('mon_errors', 'counter', 'name,error', 'Count of errors'), ('mon_average', 'gauge', 'name', 'Average of monitored time'), ('mon_histogram', 'histogram', 'name', 'Histogram of monitored times (milliseconds)')) t(family, type, labels, help)",
     ),
+    "prom_samples": (lambda s, d: _rounded(X.samples(_hist(s, d), _errors(s, d), _names(s, d)), value=6), f"{_SAMPLES} SELECT family, name, error, round(value, 6) AS value FROM smp"),
     "prom_histogram": (lambda s, d: X.histogram_samples(_hist(s, d)), f"{_INT}, {_WALK}, z AS (SELECT *, (count - lag(count, 1, 0) OVER (PARTITION BY name ORDER BY count)) * value::DOUBLE AS part FROM walk) SELECT name, value AS le, count, total AS sample_count, sum(part) OVER (PARTITION BY name) AS sample_sum FROM z"),
-    "prom_exposition": (lambda s, d: X.exposition(X.samples(_hist(s, d), _errors(s, d), _names(s, d)), X.histogram_samples(_hist(s, d))), None),
+    "prom_exposition": (lambda s, d: X.exposition(X.samples(_hist(s, d), _errors(s, d), _names(s, d)), X.histogram_samples(_hist(s, d))), _EXPOSED),
     "html_index": (
         lambda s, d: _rounded(X.index(_hist(s, d), _names(s, d)).drop("variance"), average=3, stddev=2),
         f"{_INT}, {_NAMES}, {_MOMENTS} SELECT name, coalesce(total, 0) AS total, coalesce(s, 0) AS sum, round(coalesce(a, 0), 3) AS average, round(sqrt(coalesce(var, 0)), 2) AS stddev FROM names LEFT JOIN m USING (name)",
     ),
-    "chart_points": (lambda s, d: _rounded(X.chart_points(_hist(s, d)), x=6), f"{_INT}, {_WALK} SELECT name, round(CASE WHEN count = total THEN length(CAST(total AS VARCHAR))::DOUBLE ELSE log10(1.0 / (1.0 - count::DOUBLE / total)) END, 6) AS x, value::DOUBLE AS y FROM walk"),
+    "chart_points": (lambda s, d: _rounded(X.chart_points(_hist(s, d)), x=6), f"{_INT}, {_WALK} SELECT name, round(CASE WHEN count = total THEN (SELECT length(CAST(arg_max(total, name) AS VARCHAR)) FROM walk)::DOUBLE ELSE log10(1.0 / (1.0 - count::DOUBLE / total)) END, 6) AS x, value::DOUBLE AS y FROM walk"),
     "chart_ticks": (lambda s, d: _rounded(X.chart_ticks(s, 4), x=9), "SELECT round(x, 9) AS x, label FROM (VALUES (0.0::DOUBLE, '0%'), (1, '90%'), (2, '99%'), (3, '99.9%'), (4, '99.99%'), (log10(2), '50%'), (log10(4), '75%')) t(x, label)"),
+    "chart_svg": (lambda s, d: X.chart_lines(_hist(s, d)), _chart_sql("true", -1, 1300, 300)),
+    "detail_svg": (lambda s, d: X.chart_lines(_hist(s, d).where("name = 'click'"), 2, 800, 200), _chart_sql("name = 'click'", 2, 800, 200)),
+    "index_lines": (
+        lambda s, d: X.index_lines(X.index(_hist(s, d), _names(s, d)).withColumns({"variance": F.lit(0.0), "stddev": F.lit(0.0)})).select("part", "value"),
+        f"{_INT}, {_NAMES}, {_MOMENTS} SELECT 1 AS part, '<tr><td><a href=\"' || name || '\">' || name || '</a></td><td>' || CAST(coalesce(total, 0) AS VARCHAR) || '</td><td>' || {_long('CAST(trunc(coalesce(s, 0)) AS BIGINT)')} || '</td><td>' || {_long('CAST(trunc(coalesce(a, 0)) AS BIGINT)')} || '</td><td>0s</td><td>0s</td></tr>' AS value FROM names LEFT JOIN m USING (name) UNION ALL SELECT 0, '<table><tr><th>name</th><th>total</th><th>sum</th><th>average</th><th>variance</th><th>stddev</th></tr>' UNION ALL SELECT 2, '</table>'",
+    ),
+    "timers": (_timers, "SELECT * FROM (VALUES ('automatic', 1, '', true), ('_timers.<locals>.cached', 2, '', true), ('named', 3, 'some error', true)) t(name, total, kind, monotonic)"),
+    "timers_disabled": (lambda s, d: _stopped(s, d, False), f"SELECT * FROM ({_STOPPED}) WHERE false"),
+    "timers_stopped": (_stopped, _STOPPED),
+    "direct_observations": (_direct, "SELECT o_orderpriority AS name, count(*) AS total, CAST(0 AS BIGINT) AS errors FROM orders GROUP BY 1"),
+    "quoted_text": (_quoted, _QUOTED),
+    "text_formats": (_formats, f"SELECT event_id, scale, {_long('(v * scale)')} AS duration, {_short('(v::DOUBLE * scale / 65536.0::DOUBLE)')} AS short FROM (SELECT event_id, CAST(floor(value * 1e6 + 0.5) AS BIGINT) % 1000003 AS v, unnest([0, 1, 1000, 1000000]) AS scale FROM events WHERE value IS NOT NULL)"),
     "codec_int_roundtrip": (lambda s, d: _codec(_hist(s, d), "name"), f"{_INT} SELECT * FROM h"),
     "codec_float_roundtrip": (lambda s, d: _codec(_price(s, d), "l_returnflag"), f"{_PRICE} SELECT * FROM fh"),
     "stream_snapshot": (lambda s, d: T.run_once(T.snapshot(_stream(s, d), "v", ["name"]), "complete"), f"{_INT} SELECT * FROM h"),
+    "stream_drained": (_drained, f"{_INT} SELECT * FROM h"),
     "stream_collect": (_collect_stream, f"WITH {_SPANS}, last AS (SELECT max(ts) - INTERVAL 1 HOUR AS mark FROM events) SELECT strftime(date_trunc('day', ts), '%Y-%m-%d') AS start, name, bucket, entry, count(*) AS n FROM ({_SLOTTED.format(by='ts, name', src='spans')}), last WHERE date_trunc('day', ts) + INTERVAL 1 DAY <= mark GROUP BY ALL"),
 }
 

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from spanloom.functions import codec
-from spanloom.functions.kinds import duration, error_kind, nines_label, with_viewbox
+from spanloom.functions.kinds import duration, error_kind, nines_label, shortest, with_viewbox
 from spanloom.functions.slots import MAX_INT, float_lower, float_slot, int_slot, lower, upper
 from spanloom.operators import hist as H, stats as S
 from spanloom.sinks import export as X
@@ -150,8 +150,12 @@ def test_ladder(spark):
 
 
 def test_formats(spark):
-    assert [duration(x) for x in (0, 7, 1500, 1_500_000, 1_000_000_000, 90_500_000_000, 3_600_000_000_000)] == ["0s", "7ns", "1.5µs", "1.5ms", "1s", "1m30.5s", "1h0m0s"]
-    assert with_viewbox("<svg>x", 10, 20) == '<svg viewBox="-0.5 -0.5 10 20">x' and with_viewbox("none", 1, 2) == "none"
+    times = [(0, "0s"), (7, "7ns"), (1500, "1.5µs"), (1_500_000, "1.5ms"), (1_000_000_000, "1s"), (90_500_000_000, "1m30.5s"), (3_600_000_000_000, "1h0m0s"), (-1500, "-1.5µs"), (2**63 - 1, "2562047h47m16.854775807s")]
+    assert [r.d for r in spark.createDataFrame([(n,) for n, _ in times], "n bigint").select(duration(F.col("n")).alias("d")).collect()] == [t for _, t in times]
+    numbers = [(0.0, "0"), (0.5, "0.5"), (1e6, "1e+06"), (123456.0, "123456"), (1234567.0, "1.234567e+06"), (0.0001, "0.0001"), (0.00001, "1e-05"), (-2.5, "-2.5"), (0.1 + 0.2, "0.30000000000000004"), (9223372036.854776, "9.223372036854776e+09"), (float("nan"), "NaN"), (float("inf"), "+Inf")]
+    assert [r.t for r in spark.createDataFrame([(x,) for x, _ in numbers], "x double").select(shortest(F.col("x")).alias("t")).collect()] == [t for _, t in numbers]
+    boxes = spark.createDataFrame([("<svg>x",), ("none",)], "s string").select(with_viewbox(F.col("s"), 10, 20).alias("b")).collect()
+    assert [r.b for r in boxes] == ['<svg viewBox="-0.5 -0.5 10 20">x', "none"]
     assert [r.l for r in spark.range(5).select(nines_label(F.col("id").cast("int")).alias("l")).collect()] == ["0%", "90%", "99%", "99.9%", "99.99%"]
 
 
@@ -179,6 +183,32 @@ def test_timers_and_pages(spark):
     assert X.detail_page(h, "nobody") is None
 
 
+def test_null_names_keep_their_observations(spark):
+    from spanloom.operators import registry as R
+
+    s = spark.createDataFrame([(None, 5, "e"), ("a", 7, "")], "name string, duration_ns bigint, kind string")
+    every = spark.createDataFrame([(None,), ("b",)], "name string")
+    assert sorted(map(tuple, R.snapshot(s, every).collect()), key=str) == [("a", 1, 0), ("b", 0, 0), (None, 1, 1)]
+    h = H.build_int(s, "duration_ns", ["name"])
+    assert {r["name"]: r.total for r in S.total(h, ["name"], every).collect()} == {None: 1, "b": 0}
+    assert {r["name"]: r.value for r in S.quantiles(h, ["name"], [1.0], every).collect()} == {None: 5, "b": MAX_INT}
+    assert {r["name"]: r.p for r in S.cdf(h, ["name"], [9], every).where("not isnan(p)").collect()} == {None: 1.0}
+
+
+def test_drains_are_disjoint(spark, tmp_path):
+    from spanloom.streaming import windows as T
+
+    for k in range(3):
+        spark.createDataFrame([("a", v) for v in range(k, 40)], "name string, v bigint").coalesce(1).write.parquet(str(tmp_path / f"in/{k}"))
+    stream = spark.readStream.schema("name string, v bigint").option("recursiveFileLookup", "true").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    found = T.drained(stream, "v", ["name"], str(tmp_path / "state"))
+    assert sorted(r.n for r in found.groupBy("batch").agg(F.sum("n").alias("n")).collect()) == [38, 39, 40]
+    assert T.drained(stream, "v", ["name"], str(tmp_path / "state")).count() == 0  # the second drain is empty
+    got = []
+    T.drain(stream, "v", ["name"], lambda df, n: got.append(df.agg(F.sum("n")).first()[0]), str(tmp_path / "other")).processAllAvailable()
+    assert sorted(got) == [38, 39, 40]
+
+
 def test_merge_is_adding(spark):
     a, b = ints(spark, range(500)), ints(spark, range(400, 1000))
     both = {(r.bucket, r.entry): r.n for r in H.merge(a, b).collect()}
