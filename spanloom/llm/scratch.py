@@ -2,27 +2,22 @@
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
-_LEFT: list[tuple[SparkSession, str]] = []
+from ..streaming.store import new_path, remove, shared_dir
 
+__all__ = ["bounded", "drop", "new_path", "remove", "save", "shared_dir"]
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; where that is unset (tests, one machine), one of its own."""
-    where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not where:
-        spark.conf.set("spark.checkpoint.dir", where := tempfile.mkdtemp(prefix="spanloom-"))
-    return where.rstrip("/")
+#: Bytes of an Arrow batch that goes to a Python worker, if the session asks for no less.
+ARROW_BYTES = 4 << 20
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
-def new_path(spark: SparkSession, what: str) -> str:
-    path = f"{shared_dir(spark)}/spanloom/{what}-{uuid.uuid4().hex}"
-    _LEFT.append((spark, path))
-    return path
+def bounded(spark: SparkSession) -> None:
+    """From now on a Python worker gets Arrow batches of at most ARROW_BYTES, or one row: what it holds doesn't grow with the length of texts."""
+    now = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(_BATCH))
+    if not 0 < now <= ARROW_BYTES:
+        spark.conf.set(_BATCH, str(ARROW_BYTES))
 
 
 def save(df: DataFrame, what: str) -> DataFrame:
@@ -38,19 +33,3 @@ def drop(df: DataFrame) -> None:
     """Deletes what save(df) wrote, once nothing reads it any more."""
     if path := getattr(df, "_spanloom_path", None):
         remove(df.sparkSession, path)
-
-
-def remove(spark: SparkSession, path: str) -> None:
-    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
-    hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
-    if (spark, path) in _LEFT:
-        _LEFT.remove((spark, path))
-
-
-@atexit.register
-def _clear() -> None:
-    for spark, path in list(_LEFT):
-        try:
-            remove(spark, path)
-        except Exception:  # the session has ended before
-            return

@@ -13,8 +13,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-#: Bytes of text that are worked on at once; a longer text is a chunk of its own.
-CHUNK_BYTES = 1 << 20
+#: Bytes of text that are worked on at once. A longer text is a chunk of its own, whose words are found in pieces of about this size.
+CHUNK_BYTES = 1 << 17
 
 U64 = np.uint64
 _BASE = 0x9E3779B97F4A7C15 | 1
@@ -60,28 +60,49 @@ def _power(base: int, n: int) -> np.ndarray:
     return _powers[base]
 
 
+def word_end(data: np.ndarray, at: int, keep: np.ndarray) -> int:
+    """The first place from `at` on where no word goes on, or the end."""
+    while at < len(data):
+        rest = np.flatnonzero(~keep[data[at : at + CHUNK_BYTES]])
+        if len(rest):
+            return at + int(rest[0])
+        at += CHUNK_BYTES
+    return len(data)
+
+
+def _hashes(data: np.ndarray, cuts: np.ndarray, keep: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where each word of some bytes starts, and its hash; no word goes on across a cut."""
+    inside = keep[data]
+    first, last = inside.copy(), inside.copy()
+    first[1:] &= ~inside[:-1]
+    last[:-1] &= ~inside[1:]
+    first[cuts] = inside[cuts]
+    last[cuts[cuts > 0] - 1] = inside[cuts[cuts > 0] - 1]
+    starts, ends = np.flatnonzero(first), np.flatnonzero(last) + 1
+    sums = np.empty(len(data) + 1, dtype=U64)
+    sums[0] = 0
+    np.cumsum(_BYTE[data] * _power(_BASE, len(data))[: len(data)], out=sums[1:])
+    inverse = _power(pow(_BASE, -1, 1 << 64), len(data))
+    return starts, mix((sums[ends] - sums[starts]) * inverse[starts] + (ends - starts).astype(U64))
+
+
 class Words:
     """The words of some rows: hash and row of each, in order; counts of each row."""
 
     def __init__(self, data: np.ndarray, offsets: np.ndarray, keep: np.ndarray):
         """data: the rows' bytes, one after another; offsets: where each starts, and the end."""
         self.rows = len(offsets) - 1
-        inside = keep[data]
-        first, last = inside.copy(), inside.copy()
-        first[1:] &= ~inside[:-1]
-        last[:-1] &= ~inside[1:]
-        at = offsets[:-1][offsets[:-1] < offsets[1:]]
-        first[at] = inside[at]
-        last[at[1:] - 1] = inside[at[1:] - 1]
-        starts, ends = np.flatnonzero(first), np.flatnonzero(last) + 1
-        self.row = np.searchsorted(offsets, starts, "right") - 1
+        found, row, a = [np.zeros(0, U64)], [np.zeros(0, np.int64)], 0
+        while a < len(data):
+            b = word_end(data, a + CHUNK_BYTES, keep)
+            low, high = np.searchsorted(offsets, [a, b], "left")
+            starts, hashes = _hashes(data[a:b], np.unique(offsets[low:high]) - a, keep)
+            found.append(hashes)
+            row.append(np.searchsorted(offsets, starts + a, "right") - 1)
+            a = b
+        self.hash, self.row = np.concatenate(found), np.concatenate(row)
         self.counts = np.bincount(self.row, minlength=self.rows)
         self.begin = np.concatenate(([0], np.cumsum(self.counts)))
-        sums = np.empty(len(data) + 1, dtype=U64)
-        sums[0] = 0
-        np.cumsum(_BYTE[data] * _power(_BASE, len(data))[: len(data)], out=sums[1:])
-        inverse = _power(pow(_BASE, -1, 1 << 64), len(data))
-        self.hash = mix((sums[ends] - sums[starts]) * inverse[starts] + (ends - starts).astype(U64))
 
     def shingles(self, n: int) -> tuple[np.ndarray, np.ndarray]:
         """Hashes of the n-word shingles, and where each row's begin. A row of fewer words has its whole sequence as one, a row without words none."""
@@ -121,6 +142,8 @@ def chunks(batches: Iterator[pa.RecordBatch], text: str = "text", size: int = 0)
             b = max(a + 1, int(np.searchsorted(offsets, offsets[a] + size, "right")) - 1)
             yield batch.slice(a, b - a), data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
             a = b
+        del data
+        pa.default_memory_pool().release_unused()
 
 
 def signed(x: np.ndarray) -> pa.Array:
