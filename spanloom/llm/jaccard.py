@@ -8,17 +8,20 @@ A document's set is its distinct n-word shingles, by 64-bit hash. Two sets link
    `H = floor(a * (den - num) / num)`. A band of sizes deals the elements into bins by hash. Each
    differing element changes one bin, so if the smaller set has more than H bins with elements, at
    least one of them is the same in both. A tile is (band, bin, sum of the bin's elements). A set goes
-   to the bands that hold sizes of smaller partners too. The number of bins of a band is raised until
-   every set in it has more than H bins with elements, up to a bin for each element, so none is missed.
+   to the bands that hold sizes of smaller partners too. A band has the first of some numbers of bins at which
+   every set in it has more than H bins with elements, or else a bin for each element, so none is missed.
 3. In each tile the smallest set is the hub; a set's first candidate is the hub it shares most tiles with. A pair's bitmaps
    (1,024 parity bits) bound the overlap from above: the bits that differ are at most the elements that
-   differ. The pairs that are left are counted exactly, by intersecting the arrays.
+   differ. The pairs that are left are counted exactly, by intersecting the sorted arrays.
 4. Links are contracted to components. Of tiles that still hold more than one component, the other hubs
    and, block by block, each component's pair whose bitmaps differ least come next, twice; and if that
    leaves several, all pairs across components whose bitmaps allow a link. Members of one component are
    never compared again, and new links are contracted as links between components.
 
-No step gathers a tile in a task: tiles are sorted streams, joins and sums.
+No step holds a tile in memory: tiles are sorted streams, joins and sums. The sort that finds the hubs runs over all
+rows of a tile in one task (24 bytes a row, spilled where they are many).
+Words and sets are compared by 64-bit hashes, classes by 128 bits: two shingles that differ count as equal with a
+probability of 2^-64 for each pair of shingles in two sets that are compared.
 """
 
 from __future__ import annotations
@@ -31,13 +34,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from .components import components
-from .scratch import drop, save
+from .scratch import bounded, drop, save
 from .tokens import LOWER, NOT_SPACE, U64, Words, chunks, mix, signed
 
 #: Ratio between the ends of a band of sizes.
 BAND = 1.5
 #: Bins of a band, as multiples of the differing elements that its largest sets allow; the last has a bin for each element.
 ROOM = (1.15, 1.5, 2.0, 3.0, 5.0, math.inf)
+_SALT = 0x2545F4914F6CDD1D
 #: 64-bit words of a bitmap; of a wide one, which has a bit for each element or more, at most. Larger sets only weigh on exact counts.
 BITMAP = 16
 WIDE = 2048
@@ -88,20 +92,25 @@ def bins_of(band: int, level: int, num: int, den: int) -> int:
 def _binned(x: np.ndarray, band: int, bins: int) -> np.ndarray:
     if not bins:
         return mix(x ^ U64(band))
-    return mix(x + U64(0x2545F4914F6CDD1D)) % U64(bins)
+    return mix(x + U64(_SALT)) % U64(bins)
 
 
-def _level(x: np.ndarray, num: int, den: int) -> int:
-    """The first level whose bins suffice for a set, as the smaller of two."""
-    differ = len(x) * (den - num) // num
+def _levels(x: np.ndarray, num: int, den: int) -> int:
+    """The levels whose bins suffice for a set, as the smaller of two: a bit for each level but the last, which always does."""
+    differ, every = len(x) * (den - num) // num, (1 << (len(ROOM) - 1)) - 1
     if not differ:
-        return 0  # only equal sets link
-    band = band_of(len(x))
+        return every  # only equal sets link
+    band, out, h = band_of(len(x)), 0, mix(x + U64(_SALT))
     for level in range(len(ROOM) - 1):
         bins = bins_of(band, level, num, den)
-        if np.count_nonzero(np.bincount(_binned(x, band, bins).astype(np.int64), minlength=bins)) > differ:
-            return level
-    return len(ROOM) - 1
+        if np.count_nonzero(np.bincount((h % U64(bins)).astype(np.int64), minlength=bins)) > differ:
+            out |= 1 << level
+    return out
+
+
+def level_of(passed: int) -> int:
+    """The first level at which all sets of a band pass, given the bits that they share."""
+    return next((k for k in range(len(ROOM) - 1) if passed >> k & 1), len(ROOM) - 1)
 
 
 def _tiles(x: np.ndarray, num: int, den: int, levels: dict[int, int]) -> np.ndarray:
@@ -161,9 +170,23 @@ def _linked(pairs: DataFrame, sets: DataFrame, elements: Callable[[DataFrame], D
     left = save(left, "jaccard-left")
     named = left.select(F.col("a").alias("cls")).union(left.select("b")).distinct()
     full = elements(named)  # arrays of other sets are neither kept nor moved
-    both = left.join(full.toDF("a", "xs"), "a").join(full.toDF("b", "ys"), "b")
-    common = F.size(F.array_intersect("xs", "ys"))
-    return both.select("a", "b", common.alias("common"), (F.size("xs") + F.size("ys") - common).alias("either")).where(F.col("common") * den >= F.col("either") * num).select("a", "b")
+    both = left.join(full.toDF("a", "xs"), "a").join(full.toDF("b", "ys"), "b").select("a", "b", "xs", "ys")
+
+    def verify(batches):
+        for batch in batches:
+            links = [_common(x.values, y.values) for x, y in zip(batch.column(2), batch.column(3), strict=True)]
+            keep = pa.array([k * den >= (x + y - k) * num for k, x, y in links], pa.bool_())
+            yield batch.select(["a", "b"]).filter(keep)
+
+    return both.mapInArrow(verify, "a long, b long")
+
+
+def _common(x: pa.Array, y: pa.Array) -> tuple[int, int, int]:
+    """The elements that two ascending arrays of distinct elements share, and the sizes of both."""
+    x, y = x.to_numpy().view(U64), y.to_numpy().view(U64)
+    x, y = (x, y) if len(x) <= len(y) else (y, x)
+    at = np.minimum(np.searchsorted(y, x), len(y) - 1)
+    return int(np.count_nonzero(y[at] == x)), len(x), len(y)
 
 
 def _mixed(members: DataFrame, root: DataFrame) -> DataFrame:
@@ -246,6 +269,7 @@ def near_duplicates(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100,
     whatever they are called. An empty table gives an empty result.
     """
     spark = docs.sparkSession
+    bounded(spark)
     docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     id_type = docs.schema["doc_id"].dataType.simpleString()
 
@@ -253,12 +277,12 @@ def near_duplicates(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100,
         for rows, x, begin in _sets(batches, n):
             one, two = _keys(x, begin)
             size = begin[1:] - begin[:-1]
-            level = [_level(x[a:b], num, den) for a, b in zip(begin[:-1], begin[1:], strict=True)]
+            level = [_levels(x[a:b], num, den) for a, b in zip(begin[:-1], begin[1:], strict=True)]
             band = [band_of(s) if s else 0 for s in size.tolist()]
             yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(size), signed(one), signed(two), pa.array(band, pa.int32()), pa.array(level, pa.int32())], names=["doc_id", "n", "cls", "more", "band", "level"])
 
     ids = save(docs.mapInArrow(identify, f"doc_id {id_type}, n long, cls long, more long, band int, level int"), "jaccard-ids")
-    levels = {r.band: r.level for r in ids.where("n > 0").groupBy("band").agg(F.max("level").alias("level")).collect()}  # a row for each band: the logarithm of the longest text
+    levels = {r.band: level_of(r.passed) for r in ids.where("n > 0").groupBy("band").agg(F.bit_and("level").alias("passed")).collect()}  # a row for each band: the logarithm of the longest text
 
     def post(batches):
         for rows, x, begin in _sets(batches, n):
