@@ -182,6 +182,37 @@ def test_sharding(spark):
     assert shard(docs(spark, []), 24).count() == 0
 
 
+@pytest.mark.parametrize("sf", ["0.001", "0.01", "0.1"])
+def test_sharding_keeps_equal_texts_together(spark, sf):
+    from spanloom.llm.queries import op6_sharding
+
+    folder = SF.replace("0.001", sf)
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text").collect()}
+    out = op6_sharding(spark, folder).collect()
+    mean = sum(r["size"] for r in out) / 24
+    groups, loads = collections.defaultdict(list), collections.Counter()
+    for r in out:
+        groups[texts[r.doc_id]].append(r)
+        loads[r.shard] += r["size"]
+    for g in groups.values():
+        assert len({r.shard for r in g}) == 1 or sum(r["size"] for r in g) > mean
+    assert len(out) == len(texts) and sorted(r.slot for r in out if r.shard == 0) == list(range(sum(r.shard == 0 for r in out)))
+    assert max(loads.values()) <= mean * 1.01 + max(sum(r["size"] for r in g) for g in groups.values()) * (sf != "0.1")
+
+
+def test_sharding_of_a_hot_text(spark):
+    from spanloom.llm.sharding import shard
+
+    rows = [(i, "the same text in a third of all rows") for i in range(2000)] + [(5000 + i, "a text that fits") for i in range(120)] + [(9000 + i, f"text number {i} of its own") for i in range(4000)]
+    out = shard(docs(spark, rows)).collect()
+    loads = collections.Counter()
+    for r in out:
+        loads[r.shard] += r["size"]
+    assert max(loads.values()) <= 1.01 * sum(loads.values()) / 24
+    assert len({r.shard for r in out if r.text == "a text that fits"}) == 1 and len({r.shard for r in out if r.text.startswith("the same")}) > 5
+    assert all(sorted(r.slot for r in out if r.shard == s) == list(range(sum(r.shard == s for r in out))) for s in loads)
+
+
 def test_language_id(spark):
     from spanloom.llm.langid import identify, keep_known
 
