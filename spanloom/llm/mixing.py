@@ -5,12 +5,13 @@
 2. A source is cut by keyed hash into blocks of about BLOCK_ROWS documents, however large it is. Its target
    is an exact quota of block draws: every block in each full pass, then in the last pass the blocks up to
    a cut; of the block at the cut, documents are taken (or, if more than half is due, left out) in hash
-   order as long as they fit.
+   order as long as they fit, and one more, and then one less, if that comes nearer. Rows that are equal are numbered first, so they fall into blocks of their own.
 3. The quotas of all sources are partitioned among the output shards by a binary tree: each node draws the
    left half's counts from the multivariate hypergeometric distribution, so every draw lands in exactly
-   one shard and every shard gets as many.
-4. A source's draws are permuted and dealt to shards as disjoint intervals; `mixed` orders each shard by a
-   keyed hash. All choices follow from the seed, so reruns agree.
+   one shard and every shard gets as many. Blocks grow with the input, so that all counts stay below what is drawn exactly.
+4. A source's draws are permuted and dealt to shards as disjoint intervals of the tree's quotas: a document's draws,
+   each with its shard and its place there, are what the mix takes of it. `mixed` writes the shards out, each shuffled
+   by a keyed hash. All choices follow from the seed, so reruns agree.
 
 Only tables with a row for each source reach the driver or are broadcast: MAX_SOURCES bounds them.
 """
@@ -18,21 +19,29 @@ Only tables with a row for each source reach the driver or are broadcast: MAX_SO
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from .scratch import save
+from .scratch import drop, save
 
-#: Documents of a block, about.
+#: Documents of a block, about; more where there would be over MOST_DRAWS block draws.
 BLOCK_ROWS = 256
+MOST_DRAWS = 500_000_000
 #: Blocks whose words are summed together on the way to the cut.
 SPAN = 1024
 #: Sources a mix can have: their statistics go through the driver.
 MAX_SOURCES = 20_000
 #: Output shards.
 SHARDS = 16
-_H = (1 << 62) - 1
+#: Rows of a part of a shard that is sorted in one task, about; rows of one key that are numbered in one.
+PART_ROWS = 100_000
+#: Keys up to this count are broadcast.
+SMALL = 1_000_000
+_BITS = 62
+_H = (1 << _BITS) - 1
+_ADDED = ("size", "source_size", "target", "copies", "taken", "draws")
 
 
 def words(text: Column) -> Column:
@@ -75,7 +84,7 @@ def split(quotas: np.ndarray, shards: int, seed: int) -> np.ndarray:
         rest, need = int(held.sum()), take
         for i in np.flatnonzero(held):  # the marginal method: a chain of hypergeometric draws
             rest -= int(held[i])
-            left[i] = _hypergeometric(rng, int(held[i]), rest, need)
+            left[i] = rng.hypergeometric(int(held[i]), rest, need)
             need -= int(left[i])
             if not need:
                 break
@@ -87,49 +96,69 @@ def split(quotas: np.ndarray, shards: int, seed: int) -> np.ndarray:
     return out
 
 
-def _hypergeometric(rng: np.random.Generator, good: int, bad: int, n: int) -> int:
-    """numpy's draw, and its normal limit where the counts are beyond what numpy takes."""
-    if good + bad < 1_000_000_000:
-        return int(rng.hypergeometric(good, bad, n))
-    all_ = good + bad
-    mean = n * good / all_
-    spread = math.sqrt(max(0.0, mean * (bad / all_) * ((all_ - n) / max(1, all_ - 1))))
-    return int(min(max(round(rng.normal(mean, spread)), n - bad, 0), good, n))
-
-
-def _order(seed: int, *cols: str) -> Column:
+def _order(seed: int, *cols: Column | str) -> Column:
     """A keyed hash of the columns in [0, 2^62)."""
     return F.xxhash64(F.lit(seed), *cols).bitwiseAND(F.lit(_H))
 
 
+def _numbered(docs: DataFrame, narrow: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """docs (_key, ...) and narrow (_key, source, size) with _copy: the number of a row among those of its key, from 0.
+
+    Rows of one key are equal in all that matters here. A key with very many is numbered in parts.
+    """
+    repeats = save(narrow.groupBy("_key", "source", "size").agg(F.count("*").alias("_rows")).where("_rows > 1"), "mix-repeats")
+    count = repeats.count()
+    if not count:
+        return docs.withColumn("_copy", F.lit(0).cast("long")), narrow.withColumn("_copy", F.lit(0).cast("long"))
+    keys = repeats.groupBy("_key").agg(F.sum("_rows").alias("_rows"))
+    keys = F.broadcast(keys) if count <= SMALL else keys
+    starts = repeats.withColumn("_start", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_rows") - 1, F.lit(PART_ROWS).cast("long")))).repartition("_key", "_start")
+    every = starts.withColumn("_copy", F.explode(F.sequence("_start", F.least(F.col("_start") + PART_ROWS, "_rows") - 1))).select(*narrow.columns, "_copy")
+    parts = F.pmod(F.monotonically_increasing_id(), F.ceil(F.col("_rows") / PART_ROWS).cast("long"))
+    many = save(docs.join(keys, "_key").withColumn("_part", parts).drop("_rows"), "mix-repeated")
+    sizes = many.groupBy("_key", "_part").agg(F.count("*").alias("_n"))
+    before = sizes.withColumn("_before", F.sum("_n").over(W.partitionBy("_key").orderBy("_part")) - F.col("_n")).drop("_n")
+    at = F.row_number().over(W.partitionBy("_key", "_part").orderBy("_before")) - 1
+    many = many.join(before, ["_key", "_part"]).withColumn("_copy", (F.col("_before") + at).cast("long")).select(*docs.columns, "_copy")
+    keys = F.broadcast(repeats.select("_key")) if count <= SMALL else repeats.select("_key")
+    alone = F.lit(0).cast("long").alias("_copy")
+    return docs.join(keys, "_key", "left_anti").select(*docs.columns, alone).unionByName(many), narrow.join(keys, "_key", "left_anti").select(*narrow.columns, alone).unionByName(every)
+
+
 def plan(docs: DataFrame, weights: tuple[float, ...] = (1, 2, 3), most: int = 3, shards: int = SHARDS, seed: int = 17, weight_of: dict | None = None) -> DataFrame:
     """docs with size, source_size, target, copies, taken and draws (array of shard and order in it), a row for each row of docs.
 
     Sources take the weights in turn, by code point with null last; weight_of gives some of them others.
-    copies: how often the mix holds the document, 0 to `most`; taken: copies * size. A null text has size
-    0 and may be drawn like any other. Rows that are equal in doc_id, source and size share their fate. A
-    source of size 0, or no rows at all, gives target 0. Columns of docs with these names are replaced.
+    draws: a place for each time that the mix holds the document, 0 to `most`; copies: how many; taken: copies * size.
+    A null text has size 0 and may be drawn like any other. Rows that are equal in doc_id, source and text are drawn each on
+    its own. A source of size 0, or no rows at all, gives target 0. Columns of docs with these names are replaced.
     """
+    return _planned(docs.drop(*_ADDED), weights, most, shards, seed, weight_of)[0].select("_row.*", *_ADDED)
+
+
+def _planned(docs: DataFrame, weights: tuple[float, ...] = (1, 2, 3), most: int = 3, shards: int = SHARDS, seed: int = 17, weight_of: dict | None = None) -> tuple[DataFrame, int]:
+    """docs as a struct _row, with plan's columns; and the number of draws at most."""
     spark = docs.sparkSession
-    added = ("size", "source_size", "target", "copies", "taken", "draws")
-    docs = docs.drop(*added)
-    docs = docs.select(F.struct(*docs.columns).alias("_row"), "doc_id", "source", words(F.col("text")).alias("size"))
-    narrow = save(docs.select("doc_id", "source", "size"), "mix-sizes")
-    stats = narrow.groupBy("source").agg(F.count("*").alias("rows"), F.sum("size").alias("size")).limit(MAX_SOURCES + 1).collect()
+    docs = docs.select(F.struct(*docs.columns).alias("_row"), F.xxhash64("doc_id", "source", "text").alias("_key"), "source", words(F.col("text")).alias("size"))
+    sizes = save(docs.select("_key", "source", "size"), "mix-sizes")
+    stats = sizes.groupBy("source").agg(F.count("*").alias("rows"), F.sum("size").alias("size")).limit(MAX_SOURCES + 1).collect()
     if len(stats) > MAX_SOURCES:
         raise ValueError(f"more than {MAX_SOURCES} sources; group them first")
+    docs, narrow = _numbered(docs, sizes)
     stats = sorted(stats, key=lambda r: (r.source is None, r.source or ""))
     given = weight_of or {}
     share = [given.get(r.source, weights[i % len(weights)]) for i, r in enumerate(stats)]
     wanted = targets([r["size"] for r in stats], share, most)
     full = [min(most, int(t // r["size"])) if r["size"] else 0 for t, r in zip(wanted, stats, strict=True)]
-    rows = [(r.source, r["size"], float(t), max(1, -(-r.rows // BLOCK_ROWS)), f, float(t - f * r["size"]) if f < most else 0.0) for r, t, f in zip(stats, wanted, full, strict=True)]
+    all_rows = sum(r.rows for r in stats)
+    block_rows = max(BLOCK_ROWS, -(-all_rows * most // MOST_DRAWS))
+    rows = [(r.source, r["size"], float(t), max(1, -(-r.rows // block_rows)), f, float(t - f * r["size"]) if f < most else 0.0) for r, t, f in zip(stats, wanted, full, strict=True)]
     source_cols = "source string, source_size long, target double, blocks long, full int, rest double"
     by_source = spark.createDataFrame(rows, source_cols)
 
     def placed(df: DataFrame, sources: DataFrame) -> DataFrame:
         df = df.join(F.broadcast(sources.withColumnRenamed("source", "_source")), F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
-        return df.withColumn("block", F.pmod(_order(seed, "doc_id", "size"), "blocks")).withColumn("key", _order(seed + 1, "doc_id", "size"))
+        return df.withColumn("block", F.pmod(_order(seed, "_key", "_copy"), "blocks")).withColumn("key", _order(seed + 1, "_key", "_copy"))
 
     # the cut: first among spans of blocks, then among the blocks of one span, then in a block
     block = save(placed(narrow, by_source).where("rest > 0").groupBy("source", "rest", "block").agg(F.sum("size").alias("size")), "mix-blocks")
@@ -154,7 +183,20 @@ def plan(docs: DataFrame, weights: tuple[float, ...] = (1, 2, 3), most: int = 3,
         room = x["size"] <= state["left"]
         return F.struct(F.when(room, state["left"] - x["size"]).otherwise(state["left"]).alias("left"), F.when(room, F.concat(state["keys"], F.array(x["key"]))).otherwise(state["keys"]).alias("keys"))
 
-    ends = {r.source: r["keys"] for r in edge.withColumn("keys", F.aggregate("block", none, fit)["keys"]).select("source", F.when(F.col("but"), F.array_except(F.transform("block", lambda x: x["key"]), "keys")).otherwise(F.col("keys")).alias("keys")).collect()}  # about a block for each source at most
+    edge = edge.withColumn("fit", F.aggregate("block", none, fit))
+    left = F.col("fit.left")  # one more document, if that comes nearer, and then one less
+
+    def nearest(held: Callable[[Column], Column], to: Column) -> Column:
+        some = F.filter("block", lambda x: held(F.array_contains("fit.keys", x["key"])) & (x["size"] < 2 * to))
+        return F.array_min(F.transform(some, lambda x: F.struct(F.abs(x["size"] - to).alias("off"), x["key"].alias("key"), x["size"].alias("size"))))
+
+    edge = edge.withColumn("more", nearest(lambda x: ~x, left))
+    edge = edge.withColumn("less", nearest(lambda x: x, F.col("more.size") - left))
+    keys = F.when(F.col("more").isNotNull(), F.concat("fit.keys", F.array("more.key"))).otherwise(F.col("fit.keys"))
+    keys = F.when(F.col("less").isNotNull(), F.array_remove(keys, F.col("less.key"))).otherwise(keys)
+    edge = edge.withColumn("keys", keys).select("source", F.when(F.col("but"), F.array_except(F.transform("block", lambda x: x["key"]), "keys")).otherwise(F.col("keys")).alias("keys"))
+    ends = {r.source: r["keys"] for r in edge.collect()}  # about a block for each source at most
+    drop(block)
 
     quotas = np.array([r[4] * r[3] + (r[6] + 1 if r[6] >= 0 else 0) for r in rows], dtype=np.int64)
     parts = split(quotas, shards, seed)
@@ -164,17 +206,17 @@ def plan(docs: DataFrame, weights: tuple[float, ...] = (1, 2, 3), most: int = 3,
 
     out = placed(docs, by_source)
     partial = (F.col("block") < F.col("cut")) | ((F.col("block") == F.col("cut")) & F.array_contains("taken_keys", F.col("key")))
-    copies = (F.col("full") + F.when(partial, 1).otherwise(0)).cast("int")
-    passes = F.when(F.col("copies") > 0, F.sequence(F.lit(0), F.col("copies") - 1)).otherwise(F.array().cast("array<int>"))
+    passes = F.filter(F.sequence(F.lit(0), F.lit(most)), lambda p: (p < F.col("full")) | ((p == F.col("full")) & partial))
 
     def drawn(p: Column) -> Column:
-        index = F.when(p < F.col("full"), p * F.col("blocks") + F.col("block")).otherwise(F.col("full") * F.col("blocks") + F.col("block"))
-        moved = F.pmod(index * F.col("step"), "quota")
+        moved = F.pmod((p * F.col("blocks") + F.col("block")) * F.col("step"), "quota")
         shard = F.size(F.filter("bounds", lambda b: b <= moved))
-        return F.struct(shard.alias("shard"), F.xxhash64(F.lit(seed + 2), "doc_id", p).alias("order"))
+        return F.struct(shard.alias("shard"), _order(seed + 2, "_key", "_copy", p).alias("order"))
 
-    out = out.withColumn("copies", copies).withColumn("taken", F.col("copies") * F.col("size")).withColumn("draws", F.transform(passes, drawn))
-    return out.select("_row.*", *added)
+    # a draw lies in one of the intervals that the tree has given to the shards
+    out = out.withColumn("draws", F.filter(F.transform(passes, drawn), lambda d: d["shard"] < shards))
+    out = out.withColumn("copies", F.size("draws")).withColumn("taken", (F.col("copies") * F.col("size")).cast("long"))
+    return out.select("_row", *_ADDED), all_rows * most
 
 
 def _coprime(n: int, seed: int) -> int:
@@ -185,14 +227,21 @@ def _coprime(n: int, seed: int) -> int:
     return x
 
 
+def _dealt(docs: DataFrame, **options) -> DataFrame:
+    """(_row, shard) for each copy of each document drawn, each shard in the order of its draws."""
+    planned, most = _planned(docs, **options)
+    draws = planned.select("_row", F.explode("draws").alias("d")).select("_row", "d.*")
+    # a shard is as many ranges of its order as its rows ask for, so none has to fit in a task
+    parts = max(1, -(-most // (options.get("shards", SHARDS) * PART_ROWS)))
+    part = F.floor(F.col("order") / F.lit(float(1 << _BITS)) * parts)
+    return draws.withColumn("part", part).repartition("shard", "part").sortWithinPartitions("shard", "part", "order").select("_row", "shard")
+
+
 def mixed(docs: DataFrame, **options) -> DataFrame:
-    """The mix: a row for each copy of each document drawn, with docs' columns (but those of plan's names, shard, draw or order) and the shard, in its order within the shard."""
-    draws = plan(docs, **options).select(*[c for c in docs.columns if c not in ("size", "source_size", "target", "copies", "taken", "draws", "shard", "draw", "order")], F.explode("draws").alias("draw"))
-    # a shard is as many range partitions as its size asks for, so none has to fit in a task
-    out = draws.select(*[c for c in draws.columns if c != "draw"], F.col("draw.shard").alias("shard"), F.col("draw.order").alias("order"))
-    return out.repartitionByRange("shard", "order").sortWithinPartitions("shard", "order").drop("order")
+    """The mix: a row for each copy of each document drawn, with docs' columns (but one named shard) and the shard, in its order within the shard."""
+    return _dealt(docs.drop("shard"), **options).select("_row.*", "shard")
 
 
 def mix_rows(docs: DataFrame, **options) -> DataFrame:
-    """docs with each row as often as the mix holds it."""
-    return plan(docs, **options).select(*docs.columns, F.explode("draws").alias("_draw")).drop("_draw")
+    """docs with each row as often as the mix holds it, dealt by shard, with all columns as they are."""
+    return _dealt(docs, **options).select("_row.*")

@@ -156,10 +156,52 @@ def test_mixing(spark):
         assert abs(by[s] - t) <= 30, (s, by[s], t)
     again = plan(docs(spark, rows).repartition(7)).collect()
     assert sorted((x.doc_id or -1, x.taken) for x in p) == sorted((x.doc_id or -1, x.taken) for x in again)
-    assert mixed(docs(spark, rows)).count() == sum(x.copies for x in p)
+    out = mixed(docs(spark, rows)).select("doc_id", "text", "source", "shard").collect()
+    assert len(out) == sum(x.copies for x in p)
+    held = collections.Counter((x.doc_id, x.text, x.source, d.shard) for x in p for d in x.draws)
+    assert held == collections.Counter((x.doc_id, x.text, x.source, x.shard) for x in out)
     assert plan(docs(spark, [])).count() == 0
 
 
+def test_mixing_of_equal_rows(spark):
+    from spanloom.llm import mixing as M
+
+    same = [(None, "x y", "a")] * 600 + [(7, "p q r", "b")] * 50
+    rows = [*same, *((i, "w " * (1 + i % 9), "b") for i in range(400)), *((i, "v " * (1 + i % 5), "c") for i in range(500))]
+    before, M.PART_ROWS = M.PART_ROWS, 64  # so they are numbered in parts
+    try:
+        p = M.plan(docs(spark, rows).repartition(3)).collect()
+        again = M.plan(docs(spark, rows)).collect()
+    finally:
+        M.PART_ROWS = before
+    assert len(p) == len(rows)
+    by = collections.Counter()
+    for x in p:
+        by[x.source] += x.taken
+    for s, t in {x.source: x.target for x in p}.items():
+        assert abs(by[s] - t) <= 12, (s, by[s], t)
+    assert sorted(((x.doc_id, x.taken) for x in p), key=repr) == sorted(((x.doc_id, x.taken) for x in again), key=repr)
+
+
+def test_mixing_query_meets_its_targets(spark):
+    from spanloom.llm.mixing import SHARDS, targets
+    from spanloom.llm.queries import op1_mixing
+
+    d = spark.read.parquet(f"{SF}/documents.parquet").collect()
+    size = {r.doc_id: len(re.findall(rb"[^\x20\x09-\x0D]+", (r.text or "").encode())) for r in d}
+    source = {r.doc_id: r.source for r in d}
+    names = sorted(set(source.values()))
+    sizes = [sum(size[i] for i in size if source[i] == s) for s in names]
+    wanted = dict(zip(names, targets(sizes, [1 + k % 3 for k in range(len(names))]), strict=True))
+    out = op1_mixing(spark, SF).collect()
+    by = collections.Counter()
+    for r in out:
+        assert (r["size"], r.source_size, r.taken) == (size[r.doc_id], sizes[names.index(source[r.doc_id])], len(r.draws) * r["size"]) and r.taken <= 3 * r["size"]
+        assert math.isclose(r.target, wanted[source[r.doc_id]]) and all(0 <= x.shard < SHARDS for x in r.draws)
+        by[source[r.doc_id]] += r.taken
+    assert len(out) == len(d) and all(abs(by[s] - wanted[s]) <= 0.05 * wanted[s] for s in names)
+
+
 def test_sharding(spark):
     from spanloom.llm.sharding import place, shard
 
