@@ -87,20 +87,21 @@ def _hashes(data: np.ndarray, cuts: np.ndarray, keep: np.ndarray) -> tuple[np.nd
 
 
 class Words:
-    """The words of some rows: hash and row of each, in order; counts of each row."""
+    """The words of some rows: hash, row and first byte of each, in order; counts of each row."""
 
     def __init__(self, data: np.ndarray, offsets: np.ndarray, keep: np.ndarray):
         """data: the rows' bytes, one after another; offsets: where each starts, and the end."""
         self.rows = len(offsets) - 1
-        found, row, a = [np.zeros(0, U64)], [np.zeros(0, np.int64)], 0
+        found, at, a = [np.zeros(0, U64)], [np.zeros(0, np.int64)], 0
         while a < len(data):
             b = word_end(data, a + CHUNK_BYTES, keep)
             low, high = np.searchsorted(offsets, [a, b], "left")
             starts, hashes = _hashes(data[a:b], np.unique(offsets[low:high]) - a, keep)
             found.append(hashes)
-            row.append(np.searchsorted(offsets, starts + a, "right") - 1)
+            at.append(starts + a)
             a = b
-        self.hash, self.row = np.concatenate(found), np.concatenate(row)
+        self.hash, self.start = np.concatenate(found), np.concatenate(at)
+        self.row = np.searchsorted(offsets, self.start, "right") - 1
         self.counts = np.bincount(self.row, minlength=self.rows)
         self.begin = np.concatenate(([0], np.cumsum(self.counts)))
 

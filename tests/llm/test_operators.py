@@ -359,9 +359,13 @@ def test_line_templates_of_a_full_leaf(spark):
     assert sum(d for i, (_, d) in got.items() if i >= 10**6) == 0
 
 
-def test_line_numbers_and_row_keys(spark):
+@pytest.mark.parametrize("small", [4_000_000, 0])
+def test_line_numbers_and_row_keys(spark, small, monkeypatch):
+    from spanloom.llm import lines
     from spanloom.llm.lines import drop_recurring
 
+    monkeypatch.setattr(lines, "SMALL", small)  # 0: each way that does without a broadcast
+
     rows = [(i, f"\nCopyright by the company all rights\nown{chr(97 + i) * 3} {chr(98 + i)} c d e") for i in range(4)]
     rows += [(20 + i, f"\nThe same start {chr(97 + i)} q") for i in range(2)]  # one leaf, one line after the newline
     rows += [(None, f"x{i} y{i} z{i}\n" * i + f"Visit our page {chr(97 + i)} for more news today") for i in range(4)]
