@@ -302,7 +302,7 @@ def test_nearest_neighbours_among_copies(spark):
     v = spark.createDataFrame(held, "vec_id long, embedding array<float>").repartition(2)
     x = np.array([e for _, e in held], dtype=np.float64)
     ids = np.array([i for i, _ in held])
-    pivots = fit(v)
+    pivots = fit(v)[64]
     assert len(pivots) == len(np.unique(pivots, axis=0)) == 256
     got = collections.defaultdict(list)
     for r in search(v, v.where("vec_id % 40 = 0")).collect():
@@ -315,6 +315,35 @@ def test_nearest_neighbours_among_copies(spark):
     assert np.mean(hits[True]) >= 0.9 and np.mean(hits[False]) >= 0.9, (np.mean(hits[True]), np.mean(hits[False]))
 
 
+def test_nearest_neighbours_of_each_length(spark, monkeypatch):
+    from spanloom.llm import ann
+
+    monkeypatch.setattr(ann, "QUERY_BYTES", 100)  # many blocks
+    r = np.random.default_rng(4)
+    rows = [(i, r.normal(size=2 if i % 4 else 3).tolist()) for i in range(120)] + [(200, [1.0])]
+    v = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    got = collections.defaultdict(list)
+    for x in ann.search(v, v.where("vec_id % 20 = 0"), k=5, pivots=16).collect():
+        got[x.query_id].append((x["rank"], x.vec_id, x.score))
+    for i, q in rows:
+        if i % 20 == 0:
+            near = sorted((-float(np.dot(e, q)), j) for j, e in rows if j != i and len(e) == len(q))[:5]
+            assert [(a, j) for a, j, _ in sorted(got[i])] == [(a, j) for a, (_, j) in enumerate(near, 1)]
+
+
+def test_footrule_of_the_inverted_files():
+    from spanloom.llm.ann import inverted, order, shared_places
+
+    r = np.random.default_rng(5)
+    v, pivots, length = r.normal(size=(50, 8)), r.normal(size=(20, 8)), 7
+    orders = order(v, pivots, length).tolist()
+    place = [{p: i for i, p in enumerate(o)} for o in orders]
+    rule = lambda a, b: sum(abs(a.get(p, length) - b.get(p, length)) for p in {*a, *b})
+    none = 2 * sum(range(1, length + 1))
+    got = shared_places(inverted(v, pivots, length), np.array(orders[3]))
+    assert [none - 2 * int(x) for x in got] == [rule(place[3], p) for p in place]
+
+
 def test_surrogates(spark):
     from spanloom.llm.surrogates import pseudonymize
 
