@@ -16,6 +16,10 @@ from .surrogates import pseudonymize
 from .warc import round_trip
 
 
+#: The key of op7's query; a deployment passes a secret of its own.
+PII_KEY = "spanloom"
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -48,7 +52,7 @@ def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pseudonymize(table(spark, sf_dir, "documents")).select("doc_id", "n_entities", "text")
+    return pseudonymize(table(spark, sf_dir, "documents"), PII_KEY).select("doc_id", "n_entities", "text")
 
 
 def op8_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
