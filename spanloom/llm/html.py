@@ -19,13 +19,17 @@ from dataclasses import dataclass, field
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from .scratch import bounded
+
 #: Labelled pages that the weights are learned from: the documented bound of the sample.
 SAMPLE_PAGES = 500
 
 # HTML's own element classes.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCK = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol optgroup option p pre section summary table tbody td tfoot th thead tr ul".split())
-DROPPED = "script|style|noscript|template|svg|iframe|object|canvas|audio|video|select|textarea|button|title|datalist|map"
+DROPPED = "script|style|noscript|template|svg|iframe|select|textarea|button|title|datalist"
+#: Elements of the text itself: of their class values only whole ones say anything.
+INNER = frozenset("p h1 h2 h3 h4 h5 h6 li dt dd td th tr tbody thead tfoot table caption figure figcaption blockquote pre span a em strong b i u small sup sub code br hr img".split())
 
 #: Prior of containers, in words seen: landmark tags and roles, and words of class and id values.
 BAD_TAGS = frozenset("nav aside footer form dialog menu fieldset".split())
@@ -56,6 +60,8 @@ def features(tag: str, attrs: str) -> list[str]:
             out.append(f"role={value}")
         elif name in ("hidden", "aria-hidden"):
             out += ["hidden"] if name == "hidden" or value == "true" else []
+        elif tag in INNER:
+            out += [f".{w}" for w in value.split()]
         else:
             out += [f".{w}" for w in re.split(r"[^a-z0-9]+", re.sub(r"([a-z])([A-Z])", r"\1-\2", m[2] or m[3] or m[4] or "").lower()) if w]
     return out
@@ -82,11 +88,48 @@ class Token:
     where: tuple[str, ...] = ()
 
 
+class Stack:
+    """The elements that are open: each with its name and the features of all that it is in."""
+
+    def __init__(self) -> None:
+        self.names: list[str] = []
+        self.where: list[tuple[str, ...]] = [()]
+        self.open: Counter = Counter()
+
+    def push(self, name: str, own: list[str]) -> None:
+        new = tuple(f for f in own if f not in self.where[-1])
+        self.names.append(name)
+        self.where.append(self.where[-1] + new if new else self.where[-1])
+        self.open[name] += 1
+
+    def cut(self, at: int) -> None:
+        self.open.subtract(self.names[at:])
+        del self.names[at:], self.where[at + 1 :]
+
+    def end(self, name: str) -> None:
+        """Closes the innermost element of that name with all that is in it, if there is one."""
+        if self.open[name] > 0:
+            self.end_before(name, frozenset())
+
+    def end_before(self, name: str, stop: frozenset[str]) -> None:
+        """As end, but elements of the names in stop aren't closed."""
+        for at in range(len(self.names) - 1, -1, -1):
+            if self.names[at] == name:
+                return self.cut(at)
+            if self.names[at] in stop:
+                return None
+
+    def any(self, names: frozenset[str]) -> bool:
+        return any(self.open[n] > 0 for n in names)
+
+
+_IN_P, _LISTS = BLOCK - {"p"}, frozenset(("ul", "ol", "menu"))
+
+
 def tokens(page: str) -> list[Token]:
     """A page's tokens; where: the features of the containers that a text is in."""
     out: list[Token] = []
-    stack: list[tuple[str, tuple[str, ...]]] = []
-    where: tuple[str, ...] = ()
+    stack = Stack()
     marked = False
     for m in _TOKEN.finditer(page):
         name = m[3]
@@ -94,28 +137,21 @@ def tokens(page: str) -> list[Token]:
             name = name.lower()
             out.append(Token(name, True, name in BLOCK))
             if m[2]:
-                if any(n == name for n, _ in stack):
-                    while stack.pop()[0] != name:
-                        pass
+                stack.end(name)
             elif name not in VOID:
-                if name in BLOCK and any(n == "p" for n, _ in stack) and name != "body":
-                    inner = len(stack) - 1 - [n for n, _ in reversed(stack)].index("p")
-                    if not any(n in BLOCK for n, _ in stack[inner + 1 :]):
-                        del stack[inner:]
-                if name == "li" and any(n == "li" for n, _ in stack):
-                    inner = len(stack) - 1 - [n for n, _ in reversed(stack)].index("li")
-                    if not any(n in ("ul", "ol", "menu") for n, _ in stack[inner + 1 :]):
-                        del stack[inner:]
+                if name in BLOCK and name != "body" and stack.open["p"] > 0:
+                    stack.end_before("p", _IN_P)
+                if name == "li" and stack.open["li"] > 0:
+                    stack.end_before("li", _LISTS)
                 own = features(name, m[4])
-                inside = any(n in GOOD_TAGS for n, _ in stack)
-                own = [f for f in own if f not in ("header", ".header", ".head", ".title") or not inside]
+                if stack.any(GOOD_TAGS):
+                    own = [f for f in own if f not in ("header", ".header", ".head", ".title")]
                 marked |= name in GOOD_TAGS
                 if not m[4].endswith("/") or name in BLOCK:
-                    stack.append((name, tuple(own)))
-            where = tuple(f for _, own in stack for f in own)
+                    stack.push(name, own)
         elif m[0][0] != "<" or m[0] == "<":
-            if not any(n in _DROPPED for n, _ in stack):
-                out.append(Token(html.unescape(m[0]), False, False, where))
+            if not stack.any(_DROPPED):
+                out.append(Token(html.unescape(m[0]), False, False, stack.where[-1]))
         elif m[1]:
             out.append(Token(m[1].lower(), True, False))
     if marked:
@@ -150,12 +186,8 @@ class Weights:
         return seen, depth > 0
 
     @classmethod
-    def learn(cls, pages: list[str]) -> Weights:
-        total: Counter = Counter()
-        for page in pages:
-            seen, labelled = cls.count(page)
-            if labelled:
-                total += seen
+    def learn(cls, total: Counter) -> Weights:
+        """From counts of (kind, name, inside) over labelled pages."""
         out = cls()
         for kind, name in {(k, n) for k, n, _ in total}:
             inside, outside = total[kind, name, True], total[kind, name, False]
@@ -218,10 +250,26 @@ def extract(page: str | None, weights: Weights) -> str:
 
 
 def learn(pages: DataFrame) -> Weights:
-    """Weights from at most SAMPLE_PAGES pages that label themselves, those with the smallest hashes of their html."""
-    marked = pages.where(F.lower("html").rlike("<(article|main)[\\s>]"))
-    some = marked.select("html", F.xxhash64("html").alias("h")).orderBy("h").limit(SAMPLE_PAGES)
-    return Weights.learn([r.html for r in some.collect()])
+    """Weights from at most SAMPLE_PAGES distinct pages that label themselves, those with the smallest hashes of their html.
+
+    Only hashes and counts reach the driver: pages are counted where they are.
+    """
+    marked = pages.where(F.lower("html").rlike("<(article|main)[\\s>]")).select("html", F.xxhash64("html").alias("h"))
+    least = marked.select("h").distinct().orderBy("h").limit(SAMPLE_PAGES).agg(F.max("h")).first()[0]
+    if least is None:
+        return Weights.learn(Counter())
+    some = marked.where(F.col("h") <= least).groupBy("h").agg(F.first("html").alias("html")).select("html")
+
+    def count(batches: Iterator[pa.RecordBatch]):
+        for batch in batches:
+            for page in batch.column(0):
+                seen, labelled = Weights.count(page.as_py())
+                if labelled and seen:
+                    kinds, names, inside = zip(*seen, strict=True)
+                    yield pa.RecordBatch.from_arrays([pa.array(kinds), pa.array(names), pa.array(inside), pa.array([int(n) for n in seen.values()], pa.int64())], names=["kind", "name", "inside", "n"])
+
+    counts = some.mapInArrow(count, "kind string, name string, inside boolean, n long").groupBy("kind", "name", "inside").agg(F.sum("n").alias("n"))
+    return Weights.learn(Counter({(r["kind"], r["name"], r.inside): r.n for r in counts.collect()}))  # the names in the sample
 
 
 def main_text(pages: DataFrame) -> DataFrame:
@@ -229,11 +277,12 @@ def main_text(pages: DataFrame) -> DataFrame:
 
     text: the article without menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles,
     markup and comments; character references are decoded, white space in a block is one space, blocks are
-    joined by a newline in page order. Null or empty html, or a page without content, gives an empty text.
+    joined by a newline in page order. The text of drawings (svg) counts as markup. Null or empty html, or a page without content, gives an empty text.
     The same html always gives the same text. Other columns are ignored, and null ids or urls stay null.
     """
-    shared = pages.sparkSession.sparkContext.broadcast(learn(pages))
+    bounded(pages.sparkSession)
     pages = pages.select("page_id", "url", "html")
+    shared = pages.sparkSession.sparkContext.broadcast(learn(pages))
     id_type = pages.schema["page_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]):

@@ -470,9 +470,38 @@ def test_html_of_dropped_elements():
 
     page = lambda x: f"<html><body><article><p>First words of the text</p>{x}<p>Last words of the text</p></article></body></html>"
     both = "First words of the text\nLast words of the text"
-    for x in ("<video-js></video-js>", "<map-view/>", '<svg class="i"/>', "<div><select><option>gone</div>", "<div><video>gone</div>", "<script>gone</script>", "<svg><text>gone</text></svg>"):
+    for x in ("<video-js></video-js>", "<map-view/>", '<svg class="i"/>', "<div><select><option>gone</div>", "<script>gone</script>", "<svg><text>gone</text></svg>"):
         assert extract(page(x), Weights()) == both, x
     assert extract(page("<p>so <math><mi>x</mi></math> is</p>"), Weights()).split("\n")[1] == "so x is"
+    for x in ("<video>a film of it</video>", "<object>a film of it</object>", "<p class='legal-history'>a film of it</p>", "<table><tr><td class='table-side'>a film of it</table>"):
+        assert extract(page(x), Weights()).split("\n")[1] == "a film of it", x
+
+
+def test_html_of_deep_pages():
+    import time
+
+    from spanloom.llm.html import Weights, extract
+
+    took = []
+    for n in (3000, 24000):
+        begin = time.process_time()
+        text = extract("<div class='a'>" * n + "<p>" + "Some words of text " * n + "<li><b><i>" * n + "more " * 4 * n, Weights())
+        took.append(time.process_time() - begin)
+        assert text.startswith("Some words of text") and text.endswith("more")
+    assert took[1] < 30 * took[0]  # 64 times if quadratic
+
+
+def test_html_learns_its_weights():
+    from spanloom.llm.html import Weights, extract
+
+    page = lambda i, tag: f"<html><body><div class='qzx'><p>Buy these {i} cheap things today</p></div><{tag}><p>Article number {i} says a lot of things at length</p><p>and some more {i}</p></{tag}><div class='qzx'>Visit our other pages {i} as well</div></body></html>"
+    total = collections.Counter()
+    for i in range(200):
+        total += Weights.count(page(i, "article"))[0]
+    learned = Weights.learn(total)
+    assert learned.words[".qzx"] < 0 < Weights().word((".qzx",))
+    expected = "Article number 7 says a lot of things at length\nand some more 7"
+    assert extract(page(7, "div"), learned) == expected != extract(page(7, "div"), Weights())
 
 
 def test_warc(spark):
