@@ -59,6 +59,26 @@ def near_copies(seed, base=120, copies=60):
     return out
 
 
+NAMES = "_row _key _copy _part _start _rows _before block key upto rest cut due draws copies taken target size source_size shard slot law grown_shard text_crc32 _bin _text _unit _u _p _b _from _own _rest _apart lang_pred score held_out n_words n_hit items _text_key n_lines n_dropped whole leaf row doc held gone found gaps made again kinds new tag cls more component_id n_shingles order part d".split()
+
+
+def test_columns_of_any_name_stay(spark):
+    """Stages and operators that return their input's columns leave them as they are, whatever they are called."""
+    import corpus_pipeline as P
+    from spanloom.llm import lines, mixing, sharding, surrogates
+
+    rows = [(i, f"Some English text number {i} with a few words of its own and more " * 3, "en", "ab"[i % 2], *(f"{c}{i}" for c in NAMES)) for i in range(12)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, " + ", ".join(f"`{c}` string" for c in NAMES))
+    own = {r[0]: r[4:] for r in rows}
+    for name, stage in P.STAGES[:-1]:
+        out = stage(spark, frame, SF)
+        assert out.columns == frame.columns and out.count(), name
+        assert all(tuple(r)[4:] == own[r.doc_id] for r in out.collect()), name
+    for made, added in ((lambda: mixing.plan(frame), mixing._ADDED), (lambda: sharding.shard(frame), ("size", "text_crc32", "law", "shard", "slot", "grown_shard")), (lambda: lines.drop_recurring(frame), ("n_lines", "n_dropped")), (lambda: surrogates.pseudonymize(frame, "k"), ())):
+        out = made().collect()
+        assert len(out) == 12 and all(r[c] == f"{c}{r.doc_id}" for r in out for c in NAMES if c not in added)
+
+
 @pytest.mark.parametrize("n, num, den", [(4, 85, 100), (5, 80, 100)])
 def test_jaccard_is_brute_force(spark, n, num, den):
     from spanloom.llm.jaccard import near_duplicates
