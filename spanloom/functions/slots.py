@@ -26,13 +26,6 @@ def valid_float(v: Column) -> Column:
     return ~F.isnan(f) & (F.abs(f) <= F.lit(MAX_FLOAT))
 
 
-def _exponent(x: Column, low: int, high: int) -> Column:
-    """floor(log2(x)) for x > 0 as an exact whole number: the logarithm may be off by one either way."""
-    e = F.least(F.greatest(F.floor(F.log2(x)), F.lit(low)), F.lit(high)).cast("int")
-    two = F.pow(F.lit(2.0), e)
-    return F.when(two > x, e - 1).when(two * 2 <= x, e + 1).otherwise(e)
-
-
 def int_slot(v: Column) -> tuple[Column, Column]:
     """(bucket, entry) of a valid whole number."""
     u = v.cast("long") + F.lit(64)
@@ -64,13 +57,16 @@ def middle(bucket: Column, entry: Column) -> Column:
 
 
 def float_slot(v: Column) -> Column:
-    """The slot of a valid float, which is rounded to 32 bits first. -0.0 is below +0.0."""
+    """The slot of a valid float, which is rounded to 32 bits first. -0.0 is below +0.0.
+
+    The logarithm of a power of two may be off by a bit either way, but the next float below one is 2^-24 away: so a
+    float made larger by 2^-40 of itself has the exponent that floor(log2) gives. All else is exact in double precision.
+    """
     f = v.cast("float").cast("double")
     a = F.abs(f)
     least = 2.0**-126
-    e = _exponent(F.greatest(a, F.lit(least)), -126, 127)
-    normal = (e + 127) * 64 + F.floor((a / F.pow(F.lit(2.0), e) - 1.0) * 64.0)
-    c = F.when(a >= least, normal).otherwise(F.floor(a * (2.0**126) * 64.0)).cast("int")
+    e = F.floor(F.log2(F.greatest(a, F.lit(least)) * (1 + 2.0**-40)))
+    c = F.when(a >= least, F.floor((e + a / F.pow(F.lit(2.0), e) + 126.0) * 64.0)).otherwise(F.floor(a * (2.0**126) * 64.0)).cast("int")
     negative = F.when(a == 0.0, f.cast("string").startswith("-")).otherwise(f < 0)
     return F.when(negative, F.lit(ZERO_SLOT - 1) - c).otherwise(c + ZERO_SLOT)
 
