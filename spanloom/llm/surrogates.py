@@ -28,7 +28,7 @@ SECRET = SECRET_HEAD + r"[^\s\"'<>]{5,}[^\s\"'<>.,;:!?)]"
 IBAN = r"\b[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?\b"
 IPV4 = r"(?<![0-9.])(?:(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])\.){3}(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])(?![0-9]|\.[0-9])"
 SSN = r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"
-CARD = r"(?<![0-9-])(?:3[47][0-9]{2}[ -][0-9]{6}[ -][0-9]{5}|(?:[0-9]{4}[ -]?){3}[0-9]{4}(?:[ -]?[0-9]{1,3})?|[3-6][0-9]{12,18})(?![0-9-])"
+CARD = r"(?<![0-9-])(?:3[47][0-9]{2}[ -][0-9]{6}[ -][0-9]{5}|(?:[0-9]{4}[ -]?){3}[0-9]{4}(?:[ -]?[0-9]{1,3})?|[2-6][0-9]{12,18})(?![0-9-])"
 PHONE = r"(?<![0-9A-Za-z])(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{2,4}\)[ .-]?)[0-9]{3,4}[ .-][0-9]{3,4}(?![0-9])|(?<![0-9A-Za-z])\+[0-9]{1,3}(?:[ .-]?[0-9]{2,4}){2,4}(?![0-9])|(?<![0-9.-])[0-9]{3}[.-][0-9]{3}[.-][0-9]{4}(?![0-9])"
 TITLES = {"m": r"Mr\.?|Herr|Monsieur|Señor|Sr\.|господин|г-н", "f": r"Mrs\.?|Ms\.?|Miss|Frau|Madame|Mme|Señora|Sra\.|госпожа|г-жа"}
 WORD = r"\p{Lu}(?:[\p{L}'’-]+|\.)"
@@ -118,9 +118,9 @@ def _card(key: str, value: Column) -> Column:
 
 
 def _valid_card(value: Column) -> Column:
-    """Whether a number is that of a card: four groups of four digits, or its check digit is right."""
+    """Whether a number is that of a card: an issuer's first digit, and the right check digit."""
     d = _digits(value)
-    return (F.length(d) == 16) | (_luhn(F.substring(d, F.lit(1), F.length(d) - 1)) == F.substring(d, F.length(d), F.lit(1)).cast("int"))
+    return d.rlike("^[2-6]") & (_luhn(F.substring(d, F.lit(1), F.length(d) - 1)) == F.substring(d, F.length(d), F.lit(1)).cast("int"))
 
 
 def _mod97(text: Column) -> Column:
