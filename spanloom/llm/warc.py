@@ -1,36 +1,34 @@
-"""WARC archives, index first.
+"""WARC archives with an index.
 
-`plan_archives` makes the index before any archive exists: for each record its archive, offset, length, URL
-and payload digest, from the sizes of the records. `write_archives` then writes the records in the index's
-order; Spark's text writer puts each archive in a file of its own, with the blank lines that end a WARC
-record between them, and commits it as a whole. `read_records` takes rows of the index, sorts their byte
-ranges, coalesces near ones into single reads, and parses the records.
+`write_archives` writes each task's records to archives of its own in the shared folder, as they come, so no page is moved;
+what it returns is the index, saved before anything is read: for each record its archive, offset, length, URL and payload
+digest. An archive's name has the attempt of its task, and only the rows of attempts that are committed are in the index, so
+what a lost executor leaves is never read. `read_records` takes rows of the index, sorts their byte ranges, coalesces near
+ones into single reads, and parses the records.
 """
 
 from __future__ import annotations
 
-import gc
 import hashlib
 import re
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
-from .jaccard import SMALL
-from .scratch import new_path, save
+from .scratch import bounded, drop, new_path, save
 
-#: Bytes of an archive: MOST at scale, less for small inputs so that there are about FILES of them, but LEAST.
-FILES = 256
-LEAST = 8 << 20
+#: Bytes of an archive at most, but for its last record.
 MOST = 1 << 30
 #: Payloads below this size are never revisits.
 REVISIT_BYTES = 100
 #: Ranges this close are read at once, up to READ bytes.
 GAP = 64 << 10
 READ = 4 << 20
-#: Archives are written in so many passes over the pages, so the shuffle of one pass holds as small a part of the bodies.
-PASSES = 3
+#: Digests that repeat, up to this count, are broadcast (some 100 MB); more are joined by a shuffle.
+SMALL = 1_000_000
+#: Rows that repeat a page's id and payload are made in so many at once.
+REPEATS = 100_000
 DATE = "2024-01-01T00:00:00Z"
 
 # Fixed values of the WARC 1.1 format.
@@ -66,63 +64,84 @@ def _head(rows: DataFrame) -> Column:
     )
 
 
-def _with_kinds(rows: DataFrame, first: DataFrame, archives: int, only: int | None = None) -> DataFrame:
-    """rows (only: those whose archive's number is that modulo PASSES) with their archive, kind and refers_to. first: digest and the page_id of its response."""
-    rows = rows.join(first.withColumnRenamed("digest", "_d"), F.col("digest") == F.col("_d"), "left").drop("_d")
-    rows = rows.withColumn("archive", F.pmod(F.xxhash64("page_id", "digest"), F.lit(archives)).cast("int"))
-    rows = rows if only is None else rows.where(F.col("archive") % PASSES == only)
-    in_order = W.partitionBy("archive").orderBy("page_id", "digest", "url")
-    again = F.coalesce((F.lag("page_id").over(in_order) == F.col("page_id")) & (F.lag("digest").over(in_order) == F.col("digest")), F.lit(False))
-    revisit = F.col("least").isNotNull() & ((F.col("page_id").isNull()) | (F.col("page_id") != F.col("least")) | again)
-    return rows.withColumn("kind", F.when(revisit, "revisit").otherwise("response")).withColumn("refers_to", F.when(revisit, F.col("least")))
-
-
-def plan_archives(pages: DataFrame) -> tuple[DataFrame, DataFrame, int]:
-    """(index, first, archives). index: page_id, url, digest, bytes, kind, refers_to, archive, offset, length."""
-    narrow = save(_digested(pages).drop("html"), "warc-sizes")
-    total = narrow.agg(F.sum("bytes")).first()[0] or 0
-    archives = max(1, -(-total // min(MOST, max(LEAST, total // FILES))))
-    first = save(narrow.where(F.col("bytes") >= REVISIT_BYTES).groupBy("digest").agg(F.min("page_id").alias("least"), F.count("*").alias("n")).where("n > 1 and least is not null").select("digest", "least"), "warc-first")
-    first = F.broadcast(first) if first.count() <= SMALL // 4 else first
-    rows = _with_kinds(narrow, first, archives)
-    rows = rows.withColumn("length", (F.octet_length(_head(rows)) + F.when(F.col("kind") == "revisit", 0).otherwise(F.col("bytes"))).cast("long"))
-    upto = F.sum(F.col("length") + len(END)).over(W.partitionBy("archive").orderBy("page_id", "digest", "url").rowsBetween(W.unboundedPreceding, W.currentRow))
-    rows = rows.withColumn("offset", upto - F.col("length") - len(END))
-    return save(rows.select("page_id", "url", "digest", "bytes", "kind", "refers_to", "archive", "offset", "length"), "warc-index"), first, archives
+def _few(df: DataFrame) -> DataFrame:
+    return F.broadcast(df) if df.count() <= SMALL else df
+
+
+def _with_kinds(pages: DataFrame) -> DataFrame:
+    """page_id, url, html, bytes, digest, kind and refers_to of every row; html is null for revisits."""
+    rows = _digested(pages)
+    narrow = save(rows.select("page_id", "digest", "bytes"), "warc-digests")
+    equal = narrow.where(F.col("bytes") >= REVISIT_BYTES).groupBy("digest").agg(F.min("page_id").alias("least"), F.count("*").alias("n"))
+    first = save(equal.where("n > 1 and least is not null").select("digest", "least"), "warc-first")
+    twice = save(narrow.join(_few(first), "digest").where("page_id = least").groupBy("digest").agg(F.count("*").alias("n")).where("n > 1").select("digest", F.lit(True).alias("twice")), "warc-twice")
+    drop(narrow)
+    columns = ("page_id", "url", "html", "bytes", "digest", "kind", "refers_to")
+
+    def marked(rows: DataFrame, response: Column) -> DataFrame:
+        kind = F.when(response, "response").otherwise("revisit")
+        return rows.select("page_id", "url", F.when(response, F.col("html")).alias("html"), "bytes", "digest", kind.alias("kind"), F.when(~response, F.col("least")).alias("refers_to")).select(*columns)
+
+    rows = rows.join(_few(first), "digest", "left")
+    alone = F.col("least").isNull() | F.coalesce(F.col("page_id") == F.col("least"), F.lit(False))
+    if twice.isEmpty():
+        return marked(rows, alone)
+    # rows that repeat the response's id and payload: one of them is the response, and they differ in their URL at most
+    rows = rows.join(_few(twice), "digest", "left")
+    repeated = F.coalesce(F.col("twice") & (F.col("page_id") == F.col("least")), F.lit(False))
+    same = rows.where(repeated)
+    lead = same.groupBy("digest").agg(F.min(F.struct("url")).alias("lead"))
+    same = same.groupBy("page_id", "url", "digest", "bytes", "least").agg(F.first("html").alias("html"), F.count("*").alias("n")).join(_few(lead), "digest")
+    same = same.withColumn("start", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1, F.lit(REPEATS).cast("long"))))
+    here = F.col("lead.url").eqNullSafe(F.col("url")) & (F.col("start") == 0)
+    same = same.withColumn("html", F.when(here, F.col("html"))).repartition("digest", "url", "start")
+    same = same.withColumn("i", F.explode(F.sequence("start", F.least(F.col("start") + REPEATS, "n") - 1)))
+    return marked(rows.where(~repeated), alone).unionByName(marked(same, here & (F.col("i") == 0)))
 
 
 def write_archives(pages: DataFrame, path: str) -> DataFrame:
-    """Writes a record for each row of pages (page_id, url, html) to archives under path, and returns their index.
+    """Writes a record for each row of pages (page_id, url, html) to archives under path, and returns their index: page_id, url, digest, bytes, kind, refers_to, archive, offset, length.
 
     Of records with equal payloads of at least REVISIT_BYTES bytes the one with the smallest page_id is the
     response, the others revisit it. Null html is an empty payload; a null url gives no Target-URI; a null
     page_id is written as `null`, and such a row is a response unless its payload has one with an id.
-    Of rows that repeat a page_id and payload the first is the response. Other columns are ignored.
+    Of rows that repeat a page_id and payload one with the smallest url is the response. Other columns are ignored.
     """
-    index, first, archives = plan_archives(pages)
-    for k in range(min(PASSES, archives)):
-        rows = _with_kinds(_digested(pages), first, archives, k)
-        record = F.concat(_head(rows), F.when(F.col("kind") == "revisit", "").otherwise(F.col("html")))
-        rows = rows.select("archive", "page_id", "digest", "url", record.alias("value")).sortWithinPartitions("archive", "page_id", "digest", "url")
-        rows.select("archive", "value").write.mode("append").partitionBy("archive").option("lineSep", END).text(path)
-        del rows, record
-        gc.collect()  # Spark deletes a shuffle's files once nothing in the driver refers to it
-        pages.sparkSession._jvm.System.gc()
-    return index
-
-
-def _files(spark: SparkSession, path: str) -> dict[int, str]:
-    """archive -> URI of its file."""
-    root = spark._jvm.org.apache.hadoop.fs.Path(path)
-    files = root.getFileSystem(spark._jsc.hadoopConfiguration()).listFiles(root, True)
-    out = {}
-    while files.hasNext():
-        uri = files.next().getPath().toString()
-        if m := re.search(r"/archive=(\d+)/part-[^/]*$", uri):
-            if int(m[1]) in out:
-                raise ValueError(f"archive {m[1]} has more than one file")
-            out[int(m[1])] = uri
-    return out
+    bounded(pages.sparkSession)
+    rows = _with_kinds(pages)
+    rows = rows.select("page_id", "url", "digest", "bytes", "kind", "refers_to", F.concat(_head(rows), F.coalesce("html", F.lit(""))).alias("record"))
+
+    def write(batches: Iterator[pa.RecordBatch]):
+        from pyspark import TaskContext
+        from pyarrow.fs import FileSystem
+
+        task = TaskContext.get()
+        store, root = FileSystem.from_uri(path)
+        store.create_dir(root, recursive=True)
+        file, number, at = None, 0, 0
+        try:
+            for batch in batches:
+                names, offsets, lengths = [], [], []
+                for record in batch.column(6):
+                    if file is None or at >= MOST:
+                        if file is not None:
+                            file.close()
+                        name, at, number = f"{task.partitionId():05d}-{task.taskAttemptId()}-{number:03d}.warc", 0, number + 1
+                        file = store.open_output_stream(f"{root}/{name}")
+                    data = record.as_buffer()
+                    file.write(data)
+                    file.write(END.encode())
+                    names.append(name)
+                    offsets.append(at)
+                    lengths.append(data.size)
+                    at += data.size + len(END)
+                yield pa.RecordBatch.from_arrays([*batch.columns[:6], pa.array(names, pa.string()), pa.array(offsets, pa.int64()), pa.array(lengths, pa.int64())], names=[*batch.schema.names[:6], "archive", "offset", "length"])
+        finally:
+            if file is not None:
+                file.close()
+
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.drop("record").schema)
+    return save(rows.mapInArrow(write, f"{schema}, archive string, offset long, length long"), "warc-index")
 
 
 def parse(record: bytes) -> tuple[dict[str, str], bytes, bytes]:
@@ -157,8 +176,7 @@ def read_records(selected: DataFrame, path: str) -> DataFrame:
     """
     from pyarrow.fs import FileSystem
 
-    spark = selected.sparkSession
-    shared = spark.sparkContext.broadcast(_files(spark, path))
+    bounded(selected.sparkSession)
     part = F.expr(f"offset div {8 * READ}")
     rows = selected.select("archive", "offset", "length").withColumn("part", part).repartition("archive", "part").sortWithinPartitions("archive", "offset").drop("part")
 
@@ -170,8 +188,8 @@ def read_records(selected: DataFrame, path: str) -> DataFrame:
                 b = a
                 while b < len(archive) and archive[b] == archive[a]:
                     b += 1
-                store, name = FileSystem.from_uri(shared.value[archive[a]])
-                with store.open_input_file(name) as file:
+                store, root = FileSystem.from_uri(path)
+                with store.open_input_file(f"{root}/{archive[a]}") as file:
                     at = a
                     for begin, end, n in coalesced(list(zip(offset[a:b], length[a:b], strict=True))):
                         data = file.read_at(end - begin, begin)
@@ -202,5 +220,5 @@ def round_trip(pages: DataFrame) -> DataFrame:
     path = new_path(pages.sparkSession, "warc")
     index = write_archives(pages, path)
     kind = pages.schema["page_id"].dataType
-    found = read_records(index, path)
+    found = read_records(index, path)  # lazily: the archives stay until the driver ends
     return found.select(F.col("page_id").cast(kind).alias("page_id"), "url", "payload_bytes", "payload_digest", "record_type", F.col("refers_to").cast(kind).alias("refers_to"))

@@ -542,6 +542,8 @@ def test_warc(spark):
     index = write_archives(p, path)
     some = read_records(index.where("page_id in (7, 8)"), path).where("record_type = 'response'").collect()
     assert {int(r.page_id): bytes(r.payload).decode() for r in some} == {7: rows[8][2], 8: LONG}
+    held = collections.Counter((r["page_id"], r.url) for r in index.collect())
+    assert held == collections.Counter((i, u and re.sub(r"[\x00-\x20\x7F]", "%20", u)) for i, u, _ in rows)
     assert coalesced([(0, 10), (10, 5), (10_000_000, 1)]) == [(0, 15, 2), (10_000_000, 10_000_001, 1)]
     assert round_trip(p.limit(0)).count() == 0
 
