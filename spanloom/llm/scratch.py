@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..streaming.store import new_path, remove, shared_dir
+from ..streaming.store import new_path, remove
 
-__all__ = ["bounded", "drop", "new_path", "remove", "save", "shared_dir"]
+__all__ = ["bounded", "drop", "new_path", "remove", "save"]
 
 #: Bytes of an Arrow batch that goes to a Python worker, if the session asks for no less.
 ARROW_BYTES = 4 << 20

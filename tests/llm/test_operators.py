@@ -560,3 +560,26 @@ def test_pipeline(spark, tmp_path):
     assert sorted(r.doc_id for r in kept.collect()) == sorted(i for i, _, c in brute if i == c)
     for name, stage in P.STAGES[:-1]:
         assert stage(spark, d, SF).columns == d.columns, name
+
+
+@pytest.mark.parametrize("local", [1_000_000, 0])
+def test_components(spark, local, monkeypatch):
+    from spanloom.llm import components as C
+
+    monkeypatch.setattr(C, "LOCAL", local)
+    r = random.Random(8)
+    links = [(r.randrange(-300, 300), r.randrange(-300, 300)) for _ in range(260)] + [(1000 + i, 1001 + i) for i in range(70)] + [(5000, 5000)] + [(7000 + i, 6999) for i in range(50)]
+    r.shuffle(links)
+    root = {x: x for e in links for x in e}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in links:
+        a, b = sorted((find(a), find(b)))
+        root[b] = a
+    frame = spark.createDataFrame(links, "a long, b long")
+    assert sorted(map(tuple, C.components(frame).collect())) == sorted((x, find(x)) for x in root)
+    assert C.components(frame.limit(0)).count() == 0
