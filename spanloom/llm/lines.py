@@ -148,6 +148,14 @@ def _merge(table: pa.Table) -> pa.Table:
     return pa.table({"leaf": table.column("leaf"), "template": table.column("template"), "to": pa.array(owner)})
 
 
+def _among(x: np.ndarray, held: np.ndarray) -> np.ndarray:
+    """Which of x are in held, which is sorted: the cost grows with x, and with the logarithm of held only."""
+    at = np.searchsorted(held, x)
+    out = at < len(held)
+    out[out] = held[at[out]] == x[out]
+    return out
+
+
 def _few(df: DataFrame, most: int) -> DataFrame:
     return F.broadcast(df) if df.count() <= most else df
 
@@ -226,7 +234,7 @@ def drop_recurring(docs: DataFrame, least: int = 3) -> DataFrame:
 
         def cut(batches: Iterator[pa.RecordBatch]):
             for rows, data, offsets in chunks(batches):
-                yield _cut(rows, text, Lines.of(data, offsets), lambda x: np.isin(x.whole.view(np.int64), gone.value), list(rows.columns))
+                yield _cut(rows, text, Lines.of(data, offsets), lambda x: _among(x.whole.view(np.int64), gone.value), list(rows.columns))
 
         return docs.mapInArrow(cut, StructType([*docs.schema.fields, *added]))
 

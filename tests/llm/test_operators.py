@@ -458,6 +458,29 @@ def test_line_numbers_and_row_keys(spark, small, monkeypatch):
     assert got == sorted(expected, key=repr)
 
 
+def test_lines_are_looked_up_in_many_recurring_ones():
+    """A chunk's lookup may not read all recurring lines: chunks and recurring lines both grow with the input."""
+    import time
+
+    from spanloom.llm.lines import Lines, _among
+
+    r = np.random.default_rng(3)
+    data = np.frombuffer(b"\n".join(b"the line of name n%d" % (i // 2) for i in range(400)), np.uint8)
+    x = Lines.of(data, np.array([0, len(data)])).whole.view(np.int64)
+    x = np.concatenate((x, r.integers(-(2**63), 2**63 - 1, 300), [2**63 - 1, -(2**63)]))
+
+    def seconds(held):
+        assert _among(x, held).tolist() == np.isin(x, held).tolist()
+        begin = time.perf_counter()
+        for _ in range(20):
+            _among(x, held)
+        return time.perf_counter() - begin
+
+    few, many = (np.unique(np.concatenate((x[::3], r.integers(-(2**63), 2**63 - 1, n)))) for n in (1000, 2_000_000))
+    assert not _among(x, few[:0]).any() and not _among(x[:0], few).any()
+    assert seconds(many) < 30 * seconds(few) + 0.02  # reading them all takes a thousand times as long
+
+
 def test_recurring_lines_of_few_tokens(spark):
     from spanloom.llm.lines import drop_recurring
 
