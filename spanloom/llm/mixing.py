@@ -22,7 +22,8 @@ import math
 from collections.abc import Callable
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
 from .scratch import drop, save
 
@@ -96,6 +97,16 @@ def split(quotas: np.ndarray, shards: int, seed: int) -> np.ndarray:
     return out
 
 
+#: Columns of the table by source; each step knows more of them.
+_SOURCES = {"source": pa.string(), "source_size": pa.int64(), "target": pa.float64(), "blocks": pa.int64(), "full": pa.int32(), "rest": pa.float64(), "cut": pa.int64(), "due": pa.float64(), "taken_keys": pa.list_(pa.int64()), "quota": pa.int64(), "step": pa.int64(), "bounds": pa.list_(pa.int64())}
+
+
+def _sources(spark: SparkSession, rows: list[tuple], columns: int) -> DataFrame:
+    """The first columns of _SOURCES, read by the JVM: a table of Python rows would leave Python workers in each executor."""
+    kinds = list(_SOURCES.items())[:columns]
+    return spark.createDataFrame(pa.table({name: pa.array([r[i] for r in rows], kind) for i, (name, kind) in enumerate(kinds)}))
+
+
 def _order(seed: int, *cols: Column | str) -> Column:
     """A keyed hash of the columns in [0, 2^62)."""
     return F.xxhash64(F.lit(seed), *cols).bitwiseAND(F.lit(_H))
@@ -153,8 +164,7 @@ def _planned(docs: DataFrame, weights: tuple[float, ...] = (1, 2, 3), most: int
     all_rows = sum(r.rows for r in stats)
     block_rows = max(BLOCK_ROWS, -(-all_rows * most // MOST_DRAWS))
     rows = [(r.source, r["size"], float(t), max(1, -(-r.rows // block_rows)), f, float(t - f * r["size"]) if f < most else 0.0) for r, t, f in zip(stats, wanted, full, strict=True)]
-    source_cols = "source string, source_size long, target double, blocks long, full int, rest double"
-    by_source = spark.createDataFrame(rows, source_cols)
+    by_source = _sources(spark, rows, 6)
 
     def placed(df: DataFrame, sources: DataFrame) -> DataFrame:
         df = df.join(F.broadcast(sources.withColumnRenamed("source", "_source")), F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
@@ -172,7 +182,7 @@ def _planned(docs: DataFrame, weights: tuple[float, ...] = (1, 2, 3), most: int
     cuts = {r.source: (r.cut, float(r.due)) for r in cuts.collect()}  # a row for each source
 
     rows = [(*r, *cuts.get(r[0], (-1, 0.0))) for r in rows]
-    by_source = spark.createDataFrame(rows, source_cols + ", cut long, due double")
+    by_source = _sources(spark, rows, 8)
     edge = placed(narrow, by_source).where("block = cut and size > 0")
     edge = edge.groupBy("source", "due", "key").agg(F.sum("size").alias("size")).groupBy("source", "due").agg(F.sort_array(F.collect_list(F.struct("key", "size"))).alias("block"))
     edge = edge.withColumn("held", F.aggregate("block", F.lit(0).cast("long"), lambda n, x: n + x["size"]))
@@ -202,7 +212,7 @@ def _planned(docs: DataFrame, weights: tuple[float, ...] = (1, 2, 3), most: int
     parts = split(quotas, shards, seed)
     step = [_coprime(int(q), seed + i) for i, q in enumerate(quotas)]
     rows = [(*r, ends.get(r[0], []), int(q), s, np.cumsum(parts[:, i]).tolist()) for i, (r, q, s) in enumerate(zip(rows, quotas, step, strict=True))]
-    by_source = spark.createDataFrame(rows, source_cols + ", cut long, due double, taken_keys array<long>, quota long, step long, bounds array<long>")
+    by_source = _sources(spark, rows, 12)
 
     out = placed(docs, by_source)
     partial = (F.col("block") < F.col("cut")) | ((F.col("block") == F.col("cut")) & F.array_contains("taken_keys", F.col("key")))

@@ -203,6 +203,14 @@ def test_mixing_of_equal_rows(spark):
     assert sorted(((x.doc_id, x.taken) for x in p), key=repr) == sorted(((x.doc_id, x.taken) for x in again), key=repr)
 
 
+def test_mixing_leaves_no_python_workers(spark):
+    from spanloom.llm.mixing import mix_rows, plan
+
+    for made in (plan, mix_rows):
+        steps = made(spark.read.parquet(f"{SF}/documents.parquet"))._jdf.queryExecution().executedPlan().toString()
+        assert "LocalTableScan" in steps and "ExistingRDD" not in steps
+
+
 def test_mixing_query_meets_its_targets(spark):
     from spanloom.llm.mixing import SHARDS, targets
     from spanloom.llm.queries import op1_mixing
