@@ -47,20 +47,29 @@ def label_value(text: Column) -> Column:
 
 
 def shortest(x: Column) -> Column:
-    """A double as the shortest text that gives it back: 0.25, 1e+06, 1.5e-05. An exponent stands from 1e+06 up and below 1e-04."""
+    """A double as the shortest text that gives it back: 0.25, 1e+06, 1.5e-05. An exponent stands from 1e+06 up and below 1e-04.
+
+    The number is formatted once, to 17 digits; 15 and 16 are those rounded as whole numbers, to a power of ten at times.
+    Generated code shares what stands twice where it is always needed, as text and d do in the first condition, and
+    makes anew whatever stands in branches only.
+    """
     a = F.abs(x)
-    tries = [F.format_string(f"%.{n}e", a) for n in (14, 15, 16)]
-    text = F.when(tries[0].cast("double") == a, tries[0]).when(tries[1].cast("double") == a, tries[1]).otherwise(tries[2])
-    digits = F.regexp_replace(F.concat(F.substring(text, 1, 1), F.regexp_extract(text, r"\.([0-9]+)e", 1)), "0+$", "")
-    exp = F.regexp_extract(text, r"e([+-][0-9]+)$", 1).cast("int")
-    n = F.length(digits)
-    tail = lambda at: F.substring(digits, at, n)
-    long = F.concat(F.substring(digits, 1, 1), F.when(n > 1, F.concat(F.lit("."), tail(F.lit(2)))).otherwise(""), F.lit("e"), F.when(exp < 0, "-").otherwise("+"), F.lpad(F.abs(exp).cast("string"), 2, "0"))
-    whole = F.concat(F.rpad(F.substring(digits, F.lit(1), exp + 1), exp + 1, "0"), F.when(n > exp + 1, F.concat(F.lit("."), tail(exp + 2))).otherwise(""))
+    text = F.format_string("%.16e", a)
+    d17, e17 = F.replace(F.substring(text, 1, 18), F.lit("."), F.lit("")).try_cast("long"), F.substring(text, 20, 9).try_cast("int")
+    d16, d15 = (_div(d17 + 10**k // 2, 10**k) for k in (1, 2))
+    same = lambda d, k: F.concat(d.cast("string"), F.lit("e"), (e17 - k).cast("string")).cast("double") == a
+    d = F.when(same(d15, 14), d15 * 100).when(same(d16, 15), d16 * 10).otherwise(d17)
+    digits, exp = F.rtrim(d.cast("string"), F.lit("0")), e17 + (d >= 10**17).cast("int")
+    pointed = lambda whole, at: F.rtrim(F.concat(whole, F.lit("."), F.substring(digits, at, F.lit(17))), F.lit("."))
+    long = F.concat(pointed(F.substring(digits, 1, 1), F.lit(2)), F.format_string("e%+03d", exp))
+    whole = pointed(F.rpad(F.substring(digits, F.lit(1), exp + 1), exp + 1, "0"), exp + 2)
     small = F.concat(F.lit("0."), F.repeat(F.lit("0"), -exp - 1), digits)
-    out = F.when((exp < -4) | (exp >= 6), long).when(exp >= 0, whole).otherwise(small)
-    out = F.concat(F.when(x < 0, "-").otherwise(""), F.when(a == 0, "0").otherwise(out))
-    return F.when(F.isnan(x), "NaN").when(a == float("inf"), F.when(x > 0, "+Inf").otherwise("-Inf")).otherwise(out)
+    named = F.when(F.isnan(x), "NaN").when(x > 0, "+Inf").when(x < 0, "-Inf")
+    return F.when((F.length(digits) + exp).isNull(), named).otherwise(F.concat(F.when(x < 0, "-").otherwise(""), F.when((exp < -4) | (exp >= 6), long).when(exp >= 0, whole).otherwise(small)))
+
+
+def _div(n: Column, by: int) -> Column:
+    return F.call_function("div", n, F.lit(by).cast("long"))
 
 
 def escaped(text: Column) -> Column:
@@ -86,16 +95,14 @@ def duration(nanoseconds: Column) -> Column:
     n = F.abs(signed)
 
     def part(value: Column, digits: int) -> Column:
-        unit = 10**digits
-        rest = F.regexp_replace(F.lpad((value % unit).cast("string"), digits, "0"), "0+$", "") if digits else F.lit("")
-        whole = F.floor(value / F.lit(unit)) if digits else value
-        return F.concat(whole.cast("string"), F.when(rest != "", F.concat(F.lit("."), rest)).otherwise(""))
-
-    seconds, minute = part(n % 60_000_000_000, 9), 60_000_000_000
-    minutes = F.floor((n - n % minute) / F.lit(minute))
-    hours, minutes = F.floor(minutes / 60), minutes % 60
-    clock = F.concat(F.when(hours > 0, F.concat(hours.cast("string"), F.lit("h"))).otherwise(""), F.when((hours > 0) | (minutes > 0), F.concat(minutes.cast("string"), F.lit("m"))).otherwise(""), seconds, F.lit("s"))
-    out = F.when(n == 0, "0s").when(n < 1000, F.concat(part(n, 0), F.lit("ns"))).when(n < 1_000_000, F.concat(part(n, 3), F.lit("µs"))).when(n < 1_000_000_000, F.concat(part(n, 6), F.lit("ms"))).otherwise(clock)
+        text = F.concat(_div(value, 10**digits).cast("string"), F.lit("."), F.lpad((value % 10**digits).cast("string"), digits, "0"))
+        return F.rtrim(F.rtrim(text, F.lit("0")), F.lit("."))
+
+    hour, minute = 3_600_000_000_000, 60_000_000_000
+    hours = F.when(n >= hour, F.concat(_div(n, hour).cast("string"), F.lit("h"))).otherwise("")
+    minutes = F.when(n >= minute, F.concat((_div(n, minute) % 60).cast("string"), F.lit("m"))).otherwise("")
+    clock = F.concat(hours, minutes, part(n % minute, 9), F.lit("s"))
+    out = F.when(n == 0, "0s").when(n < 1000, F.concat(n.cast("string"), F.lit("ns"))).when(n < 1_000_000, F.concat(part(n, 3), F.lit("µs"))).when(n < 1_000_000_000, F.concat(part(n, 6), F.lit("ms"))).otherwise(clock)
     return F.concat(F.when(signed < 0, "-").otherwise(""), out)
 
 

@@ -159,6 +159,22 @@ def test_formats(spark):
     assert [r.l for r in spark.range(5).select(nines_label(F.col("id").cast("int")).alias("l")).collect()] == ["0%", "90%", "99%", "99.9%", "99.99%"]
 
 
+def test_shortest_is_read_back(spark):
+    r = random.Random(3)
+    values = [s * float(f"1e{k}") for k in range(-323, 309) for s in (1, -1)] + [2.0**k for k in range(-1074, 1024)] + [r.uniform(0, 1) * 10.0 ** r.randint(-300, 300) for _ in range(2000)]
+    got = {x.v: x.t for x in spark.createDataFrame([(v,) for v in values], "v double").select("v", shortest(F.col("v")).alias("t")).collect()}
+    assert all(float(t) == v for v, t in got.items())
+    assert [got[v] for v in (1e22, 1e23, 1e154, -1e-5, 1e-300)] == ["1e+22", "1e+23", "1e+154", "-1e-05", "1e-300"]
+
+
+def test_formats_are_made_once_for_each_row(spark):
+    from spanloom.plans.catalogue import QUERIES
+
+    plan = QUERIES["text_formats"](spark, "/root/testdata/sf0.001")._jdf.queryExecution()
+    code = spark._jvm.org.apache.spark.sql.api.python.PythonSQLUtils.explainString(plan, "codegen")
+    assert 1 <= code.count("new java.util.Formatter(") <= 2  # 17 digits, and the exponent where there is one
+
+
 def test_timers_and_pages(spark):
     t = Timers()
     for name in ("foo", "foo", "bar"):
